@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, topk, vectors
+from . import bpe, mixing, ppm, simhash, topk, vectors
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,14 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ppm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ppm": op1_ppm,
         "op2_mix": op2_mix,
         "op3_topk": op3_topk,
         "op7_simhash": op7_simhash,
