@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +126,35 @@ def connected(edges: DataFrame, left: str, right: str, most_rounds: int = 60) ->
 
 def arrow(schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """rows, which have a column block, as (block, packed): what a batch has of a block in one compressed value.
+
+    Whole texts cross shuffles several times; this way they cross them small, and a block's rows are few.
+    """
+    names = [c for c in rows.columns if c != "block"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3)
+        for b in batches:
+            block = b.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            columns = {c: b.column(c).to_pylist() for c in names}
+            numbers, data = [], []
+            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+                numbers.append(int(block[own[0]]))
+                data.append(squeeze.compress(pickle.dumps({c: [v[k] for k in own] for c, v in columns.items()}, 5)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["block", "packed"])
+
+    return rows.mapInArrow(run, "block int, packed binary")
+
+
+def unpacked(table: pa.Table, *names: str) -> list[list]:
+    """The columns named of a block's rows from packed_blocks."""
+    out: list[list] = [[] for _ in names]
+    for data in table.column("packed").to_pylist():
+        found = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        for own, c in zip(out, names):
+            own += found[c]
+    return out

@@ -184,8 +184,8 @@ GATHERED = "block int, kind string, part int, keys binary, counts binary, n long
 def gather(table: pa.Table, parts: int) -> pa.Table:
     """One block's distinct grams and words with their training counts, dealt by part, and its counts of byte pairs."""
     block = table.column("block")[0].as_py()
-    texts = table.column("text").to_pylist()
-    train = ~table.column("held_out").to_numpy()
+    texts, held_out = common.unpacked(table, "text", "held_out")
+    train = ~np.array(held_out)
     gram, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     words: dict[bytes, int] = {}
@@ -281,7 +281,7 @@ def score_block(docs: pa.Table, known: pa.Table) -> pa.Table:
     value = np.concatenate([np.frombuffer(zlib.decompress(values[k]), "<f8") for k in mine] or [np.zeros(0)])
     order = np.argsort(gram)
     table = Table(gram[order], value[order])
-    texts = docs.column("text").to_pylist()
+    texts, doc_id, held_out = common.unpacked(docs, "text", "doc_id", "held_out")
     score = np.zeros(len(texts))
     n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     known_sum = np.zeros(len(texts))
@@ -297,7 +297,7 @@ def score_block(docs: pa.Table, known: pa.Table) -> pa.Table:
         logs = np.log10(every + 1.0)
         known_sum[i:j] = [logs[a:b].sum() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "known_sum": known_sum, "n_bytes": size, "score": score})
+    return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "held_out": held_out, "n_tokens": n_tokens, "n_known": n_known, "known_sum": known_sum, "n_bytes": size, "score": score})
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -314,6 +314,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     parts = max(8, 2 * n_blocks)
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table = table.withColumn("block", common.block_of(F.struct("doc_id", F.length("text")), n_blocks))
+    table = common.packed_blocks(table)
     asked = common.written(table.groupBy("block").applyInArrow(lambda t: gather(t, parts), GATHERED), "grams")
     pairs = {r.part: r.n for r in asked.where("kind = 'pair'").groupBy("part").agg(F.sum("n").alias("n")).collect()}  # 65,536 at most
     one, zero = low_orders(pairs)
@@ -322,7 +323,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     answers = common.written(asked.where("kind in ('gram', 'word')").drop("n").groupBy("kind", "part").applyInArrow(lambda t: answer(t, one, zero), "block int, kind string, keys binary, counts binary, n long"), "answers")
     distinct = int(answers.where("kind = 'distinct'").agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
     back = answers.where("block >= 0").select("block", "kind", "keys", "counts")
-    scored = table.select("block", "doc_id", "text", "held_out").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score_block, SCORES)
+    scored = table.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score_block, SCORES)
     level = math.log10(tokens + distinct + 1)
     end = math.log10(train_docs + 1)
     return scored.select(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ppm, simhash, topk, vectors
+from . import bpe, mixing, ppm, simhash, suffixes, topk, vectors
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,19 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm": op1_ppm,
         "op2_mix": op2_mix,
         "op3_topk": op3_topk,
+        "op4_suffixes": op4_suffixes,
         "op7_simhash": op7_simhash,
         "op9_bpe": op9_bpe,
         "op10_vectors": op10_vectors,
