@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ppm, simhash, suffixes, topk, vectors
+from . import bpe, common, mixing, ppm, repair, simhash, suffixes, topk, vectors
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,13 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = f"{common.shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    repair.write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, target)
+    shards = spark.read.schema(repair.SHARDS).parquet(target)
+    return repair.positions(shards, repair.read_shards(shards).drop("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm": op1_ppm,
@@ -53,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": op3_topk,
         "op4_suffixes": op4_suffixes,
         "op7_simhash": op7_simhash,
+        "op8_repair": op8_repair,
         "op9_bpe": op9_bpe,
         "op10_vectors": op10_vectors,
     }
