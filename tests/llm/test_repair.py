@@ -1,4 +1,5 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -32,7 +33,7 @@ def test_shards_hold_what_the_library_encodes(spark, monkeypatch, tmp_path):
     rows = [(i * 7 % 97, "".join(rng.choice(["the ", "Thing, ", "on\n", "é ", "don't  ", "日本🙂 "]) for _ in range(rng.randrange(60)))) for i in range(90)]
     rows += [(200, None), (201, ""), (None, "last"), (5, "again the same id"), (300, "long " * 4000), (301, "\0 \x1c x　y  z"), (302, "<|endoftext|>")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int")
-    target = f"{common.shared_dir(spark)}/shards-test-{rng.random()}"
+    target = f"{common.shared_dir(spark)}/shards-test-{uuid.uuid4().hex}"
     repair.write_shards(docs, PATH, P.PATTERN, target)
     shards = spark.read.parquet(target)
     got = repair.positions(shards, repair.read_shards(shards)).orderBy("start").collect()
