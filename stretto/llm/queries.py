@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, ppm, repair, simhash, suffixes, topk, vectors
+from . import bpe, common, mixing, ppm, repair, simhash, suffixes, topk, toxicity, vectors
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,18 @@ def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.positions(shards, repair.read_shards(shards).drop("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm": op1_ppm,
         "op2_mix": op2_mix,
         "op3_topk": op3_topk,
         "op4_suffixes": op4_suffixes,
+        "op5_toxicity": op5_toxicity,
         "op7_simhash": op7_simhash,
         "op8_repair": op8_repair,
         "op9_bpe": op9_bpe,
