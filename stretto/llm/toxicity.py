@@ -34,8 +34,9 @@ CACHE_WORDS = 400_000
 PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words(text: bytes) -> set[bytes]:
-    return set(text.lower().translate(PARTED).split())
+def words(text: bytes) -> list[bytes]:
+    """Distinct words in the order of their first place, so that sums over them come out alike in every run."""
+    return list(dict.fromkeys(text.lower().translate(PARTED).split()))
 
 
 def features(word: bytes) -> list[int]:
@@ -44,6 +45,15 @@ def features(word: bytes) -> list[int]:
     return [zlib.crc32(word) & mask, *[zlib.crc32(b"^" + word[:n]) & mask for n in BEGINNINGS if len(word) >= n]]
 
 
+def by_row(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums of each row's values; a row's does not depend on the other rows."""
+    out = np.zeros((len(off) - 1, *values.shape[1:]))
+    some = np.flatnonzero(off[1:] > off[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, off[:-1][some])
+    return out
+
+
 @dataclass
 class Rows:
     """Sparse rows: the features of row i are at[off[i]:off[i + 1]]; a feature counts once for each distinct word that has it."""
@@ -60,8 +70,7 @@ class Rows:
         return Rows(self.at[np.arange(off[-1]) + np.repeat(self.off[:-1][rows] - off[:-1], size)], off)
 
     def margin(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(w[self.at])])
-        return sums[self.off[1:]] - sums[self.off[:-1]]
+        return by_row(w[self.at], self.off)
 
     def gradient(self, r: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(self.at, np.repeat(r, np.diff(self.off)), n)
@@ -263,8 +272,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame:
                 table[n : n + len(new)] = np.stack([rows.margin(w) for w in model.weights], 1)
                 seen.update(zip(new, range(n, n + len(new))))
             numbers = np.fromiter(map(seen.__getitem__, every), np.int64, len(every))
-            sums = np.concatenate([np.zeros((1, len(names))), np.cumsum(table[numbers], axis=0)])
-            p = model.probabilities(list((sums[ends[1:]] - sums[ends[:-1]]).T))
+            p = model.probabilities(list(by_row(table[numbers], ends).T))
             out = {"doc_id": b.column("doc_id")} | {c: b.column(c) for c in carried}
             for k, c in enumerate(names):
                 out |= {f"p_{c}": pa.array(p[:, k]), f"is_{c}": pa.array(p[:, k] >= thresholds[k])}
