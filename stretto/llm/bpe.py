@@ -199,7 +199,9 @@ class Words:
         return self.pool[where], upto[ends]
 
 
+@functools.lru_cache(maxsize=1)
 def encoder_words(path: str, pattern: str) -> Words:
+    """Words encoded by PrefixEncoder. A worker's next task goes on with the table."""
     encoder = PrefixEncoder.of_file(path)
     split = regex.compile(pattern).findall
     known: dict[str, list[int]] = {}

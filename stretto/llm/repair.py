@@ -12,6 +12,7 @@ as three planes of bytes (low, middle, high).
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -151,8 +152,12 @@ class Shard:
         return self.expand(s[a:b])[i - upto[a] : i - upto[a] + max(0, min(j, upto[-1]) - i)]
 
 
+@functools.lru_cache(maxsize=1)
 def library_words(path: str, pattern: str) -> bpe.Words:
-    """Words encoded by the tokenizers library's model; a piece is spelled in its alphabet of visible characters for bytes."""
+    """Words encoded by the tokenizers library's model; a piece is spelled in its alphabet of visible characters for bytes.
+
+    A worker's next task goes on with the table.
+    """
     model = Tokenizer.from_file(path).model
     shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
     others = iter(range(256, 512))
