@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, ppm, repair, simhash, suffixes, topk, toxicity, vectors
+from . import bpe, common, mixing, pii, ppm, repair, simhash, suffixes, topk, toxicity, vectors
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = pii.find(docs, pii.train(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm": op1_ppm,
@@ -66,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": op3_topk,
         "op4_suffixes": op4_suffixes,
         "op5_toxicity": op5_toxicity,
+        "op6_pii": op6_pii,
         "op7_simhash": op7_simhash,
         "op8_repair": op8_repair,
         "op9_bpe": op9_bpe,
