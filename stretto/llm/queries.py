@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repair": op8_repair,
         "op9_bpe": op9_bpe,
         "op10_vectors": op10_vectors,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -29,6 +29,7 @@ PLAN_SAMPLE = 2048
 PART = 4096
 #: A probe's cost in compared pairs.
 PROBE_COST = 60.0
+WORDS = ("fp", "w1", "w2", "w3")
 
 
 def hashes(text: bytes, shingle: int) -> list[int]:
@@ -68,8 +69,21 @@ def majority(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (64 bits as a long) for every row; null texts are empty, texts without words have fingerprint 0."""
+#: Words of a wide fingerprint after the first: each from the same hashes, mixed by another odd factor.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def remixed(h: np.ndarray, factor: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits as a long), w1, w2, w3 (the rest of 256 bits, or 0) for every row.
+
+    Null texts are empty, texts without words have fingerprint 0.
+    """
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +93,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 h = np.array(hashes(text, shingle), np.uint64)
                 counts[k] = len(h)
                 got.append(h)
-            fp = majority(np.concatenate(got) if got else np.zeros(0, np.uint64), counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            every = np.concatenate(got) if got else np.zeros(0, np.uint64)
+            words = [majority(every, counts), *[majority(remixed(every, f), counts) if wide else np.zeros(len(b), np.uint64) for f in FACTORS]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(w.view(np.int64)) for w in words]], names=["doc_id", *WORDS])
 
     table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return table.mapInArrow(run, "doc_id long, fp long")
+    return table.mapInArrow(run, "doc_id long, fp long, w1 long, w2 long, w3 long")
 
 
 def deal_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -150,92 +165,130 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked_in_group(fp: np.ndarray, tau: int) -> np.ndarray:
+def near(a: np.ndarray, b: np.ndarray, tau: int, wide: int | None) -> np.ndarray:
+    """Which fingerprints (words in the last axis) differ in at most tau bits of the first word, and wide bits of all."""
+    ok = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= tau
+    return ok if wide is None else ok & (np.bitwise_count(a ^ b).sum(-1, dtype=np.int32) <= wide)
+
+
+def linked_in_group(words: np.ndarray, tau: int, wide: int | None) -> np.ndarray:
     """For each fingerprint of a group the smallest position that links within the group reach."""
-    n = len(fp)
+    n = len(words)
     root = np.arange(n)
-    for i in range(0, n, 512):
-        near = np.bitwise_count(fp[i : i + 512, None] ^ fp[None, i:]) <= tau
-        a, b = np.nonzero(near)
-        root = common.components(n, np.concatenate([root, a + i]), np.concatenate([np.arange(n), b + i]))
+    first = words[:, 0]
+    for i in range(0, n, 256):
+        a, b = np.nonzero(np.bitwise_count(first[i : i + 256, None] ^ first[None, i:]) <= tau)
+        a, b = a + i, b + i
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+        for k in range(0, len(a) if wide is not None else 0, 1 << 18):
+            part = slice(k, k + (1 << 18))
+            far = ~near(words[a[part]], words[b[part]], tau, wide)
+            a[part][far] = b[part][far]
+        root = common.components(n, np.concatenate([root, a]), np.concatenate([np.arange(n), b]))
     return root
 
 
-def verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterator[pa.RecordBatch], tau: int, wide: int | None) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (key, a, b) in, links out: each group's links as stars around its smallest members."""
 
-    def settle(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def settle(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch | None:
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
         size = np.diff(np.r_[edge, len(key)])
         left, right = [], []
         small = np.repeat((size > 1) & (size <= 48), size)
-        f, own = fp[small], np.repeat(np.arange(len(size)), size)[small]
+        i, w, own = ids[small], words[small], np.repeat(np.arange(len(size)), size)[small]
         for off in range(1, 48):
-            if len(f) <= off:
+            hit = np.flatnonzero(own[off:] == own[:-off]) if len(w) > off else []
+            if not len(hit):
                 break
-            hit = np.flatnonzero((own[off:] == own[:-off]) & (np.bitwise_count(f[off:] ^ f[:-off]) <= tau))
-            left.append(f[hit])
-            right.append(f[hit + off])
+            hit = hit[near(w[hit], w[hit + off], tau, wide)]
+            left.append(i[hit])
+            right.append(i[hit + off])
         for g in np.flatnonzero(size > 48):
-            f = np.unique(fp[edge[g] : edge[g] + size[g]])
-            root = linked_in_group(f, tau)
-            own = root != np.arange(len(f))
-            left.append(f[own])
-            right.append(f[root[own]])
-        a, b = np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
+            i, at = np.unique(ids[edge[g] : edge[g] + size[g]], return_index=True)
+            root = linked_in_group(words[edge[g] + at], tau, wide)
+            own = root != np.arange(len(i))
+            left.append(i[own])
+            right.append(i[root[own]])
+        a, b = np.concatenate([ids[:0], *left]), np.concatenate([ids[:0], *right])
         own = a != b
         if not own.any():
             return None
-        return pa.RecordBatch.from_arrays([pa.array(a[own].view(np.int64)), pa.array(b[own].view(np.int64))], names=["x", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], names=["x", "y"])
 
-    held_key, held_fp = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    names = WORDS if wide is not None else WORDS[:1]
+    held = np.zeros((0, 4 + len(names)), np.int64)
     for batch in batches:
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "a", "b")], 1)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        key, fp = np.concatenate([held_key, key]), np.concatenate([held_fp, fp])
-        if not len(key):
+        now = np.concatenate([held, np.stack([column(batch, c) for c in ("key", "a", "b", "id", *names)], 1)])
+        if not len(now):
             continue
-        last = len(key) - np.argmax((key[::-1] != key[-1]).any(1)) if (key != key[-1]).any() else 0
-        out = settle(key[:last], fp[:last]) if last else None
+        differ = (now[:, :3] != now[-1, :3]).any(1)
+        last = len(now) - int(np.argmax(differ[::-1])) if differ.any() else 0
+        out = settle(now[:last, :3], now[:last, 3], np.ascontiguousarray(now[:last, 4:]).view(np.uint64)) if last else None
         if out:
             yield out
-        held_key, held_fp = key[last:], fp[last:]
-    out = settle(held_key, held_fp) if len(held_key) else None
+        held = now[last:]
+    out = settle(held[:, :3], held[:, 3], np.ascontiguousarray(held[:, 4:]).view(np.uint64)) if len(held) else None
     if out:
         yield out
 
 
-def links(classes: DataFrame, tau: int = 3) -> DataFrame:
-    """x, y: links that connect all fp of classes (distinct) that are within tau bits of each other."""
+def links(classes: DataFrame, tau: int = 3, wide: int | None = None) -> DataFrame:
+    """x, y: ids that connect all rows of classes (id, fp and, with wide, w1 to w3; distinct) within tau bits of each other."""
     spark = classes.sparkSession
     total = classes.count()
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
     probes = [(k, mask) for k, masks in plan(sample, total, tau) for mask in masks] if len(sample) else [(0, 0)]
     keys = F.array(*[F.xxhash64(F.lit(k), F.lit(signed(mask)), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for k, mask in probes])
-    probed = classes.select("fp", F.explode(keys).alias("key"))
-    groups = probed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = probed.join(groups, "key").withColumn("parts", F.expr(f"cast(ceil(n / {PART}) as int)"))
-    part = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int")
+    own = ["id", *(WORDS if wide is not None else WORDS[:1])]
+    groups = classes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    probed = classes.select(*own, F.explode(keys).alias("key"))
+    # only groups too large for one task are looked up: they are cut into parts, and each two parts are compared
+    parts = probed.join(groups, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
     tiles = (
         parts.withColumn("part", part)
-        .select("fp", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("fp", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        .select(*own, "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select(*own, "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    common_rows = tiles.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return common_rows.mapInArrow(lambda batches: verified(batches, tau), "x long, y long")
+    together = tiles.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return together.mapInArrow(lambda batches: verified(batches, tau, wide), "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 3, wide: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) for every row of docs.
 
-    Rows of one fingerprint are one class before anything is compared, so copies cost nothing however many they are. Null
-    texts are empty texts; texts without words share fingerprint 0 and so one class. A null doc_id takes part, and is nobody's
-    component_id unless its whole component has no other. Repeated rows stay repeated; an empty table gives an empty result.
+    Fingerprints link within tau bits; with wide, 256-bit fingerprints of the same shingles must also be within so many bits,
+    which tells likeness far better than 64 do. Rows of one fingerprint are one class before anything is compared, so copies cost
+    nothing however many they are. Null texts are empty texts; texts without words share fingerprint 0 and so one class. A null
+    doc_id takes part, and is nobody's component_id unless its whole component has no other. Repeated rows stay repeated; an empty
+    table gives an empty result.
     """
-    prints = common.written(fingerprints(docs, shingle), "prints")
-    classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = common.connected(links(classes, tau), "x", "y")
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = common.written(fingerprints(docs, shingle, wide is not None).withColumn("id", F.xxhash64(*WORDS) if wide is not None else F.col("fp")), "prints")
+    classes = common.written(prints.groupBy("id", *WORDS).agg(F.min("doc_id").alias("first")), "classes")
+    roots = common.connected(links(classes, tau, wide), "x", "y")
+    placed = classes.join(roots, classes.id == roots.node, "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(placed.join(least, "root").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
+
+
+#: For texts alike in four fifths of their five-word shingles: bits of 64 to look within, and bits of 256 to be within.
+ALIKE_TAU, ALIKE_WIDE = 12, 44
+
+
+def kept_documents(docs: DataFrame, shingle: int = 5, tau: int = ALIKE_TAU, wide: int = ALIKE_WIDE) -> DataFrame:
+    """One row of docs, with all its columns, for each group of near copies: that of the smallest doc_id.
+
+    Of rows that share that doc_id one stays. Texts without words, null ones too, are one group. Rows with a null doc_id go when
+    their group has others; otherwise one stays.
+    """
+    columns = [F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)]
+    classes = near_duplicates(docs.select("doc_id", "text"), shingle, tau, wide)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select("doc_id", *columns).join(first, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return rows.dropDuplicates(["doc_id"]).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -56,7 +56,7 @@ def test_links_split_large_groups(spark, monkeypatch):
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
     near = np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(rng.integers(0, 64))) ^ (np.uint64(1) << np.uint64(k)) for k in range(40)])
     fps = np.unique(np.concatenate([near, rng.integers(0, 2**63, 500, dtype=np.uint64)]))
-    classes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    classes = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "id long, fp long")
     roots = {r.node: r.root for r in simhash.common.connected(simhash.links(classes), "x", "y").collect()}
     a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
     want = simhash.common.components(len(fps), a, b)
@@ -81,3 +81,24 @@ def test_plan_covers_the_threshold():
 
 def test_thresholds_take_the_cheapest():
     assert simhash.thresholds([[0, 5, 50], [0, 1, 2]], 1)[1] == [-1, 1]
+
+
+def test_kept_documents(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows, group = [], []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(rng.choice([1, 2, 4])):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = "changed"
+            rows.append((len(rows), " ".join(own), "s", f"x{len(rows)}"))
+            group.append(g)
+    rows += [(1000, None, None, "n"), (1001, "", "s", None), rows[0], (None, rows[3][1], "s", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id string")
+    kept = simhash.kept_documents(docs)
+    assert kept.columns == docs.columns
+    want = [group.index(g) for g in range(40)]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*want, 1000])
+    assert simhash.kept_documents(docs.limit(0)).count() == 0
