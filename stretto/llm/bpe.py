@@ -15,14 +15,15 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's table of words seen; memory, not results, depends on it.
-CACHE_WORDS = 700_000
+#: Entries of a worker's tables of words and of pieces seen; memory, not results, depends on it.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 300_000
 
 
 class PrefixEncoder:
@@ -141,8 +142,10 @@ class PrefixEncoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-#: A run of white space that is not one plain character between two words keeps its text from being cut at spaces.
-RUN = regex.compile(r"\s\s|^\s|\s$")
+#: A run of white space that is not one plain character between two words keeps its text from being cut at spaces. Written out
+#: for an engine whose \\s is ASCII; a NUL, which marks the cuts, counts as well.
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUN = f"{SPACE}{SPACE}|\\A{SPACE}|{SPACE}\\z|\\x00"
 
 
 class Words:
@@ -161,11 +164,17 @@ class Words:
         self.seen: dict[str, int] = {}
         self.pool, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
-    def cut(self, text: str) -> list[str]:
-        """The words of a text; all but the first keep the space before them."""
-        if RUN.search(text) or "\0" in text:
-            return self.pattern.findall(text)
-        return text.replace(" ", "\0 ").split("\0")
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text; all but the first keep the space before them."""
+        run = pc.match_substring_regex(texts, RUN)
+        plain = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(run)), " ", "\0 "), "\0")
+        if len(plain) == len(texts):
+            return plain
+        whole = pa.array([self.pattern.findall(t) for t in texts.filter(run).to_pylist()], pa.list_(pa.string()))
+        run = run.to_numpy(zero_copy_only=False)
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(~run), np.flatnonzero(run)])] = np.arange(len(texts))
+        return pa.concat_arrays([plain, whole]).take(pa.array(place))
 
     def add(self, new: list[str]) -> None:
         ids, sizes = self.encode(new)
@@ -179,24 +188,22 @@ class Words:
         self.used += len(ids)
         self.seen.update(zip(new, range(n, n + len(new))))
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
         if len(self.seen) > self.size:
             self.forget()
-        words: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for k, t in enumerate(texts):
-            if t:
-                words += self.cut(t)
-            ends[k + 1] = len(words)
-        seen = self.seen
-        if new := [w for w in dict.fromkeys(words) if w not in seen]:
+        lists = self.cut(texts)
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offset
+        coded = lists.flatten().dictionary_encode()
+        distinct, seen = coded.dictionary.to_pylist(), self.seen
+        if new := [w for w in distinct if w not in seen]:
             self.add(new)
-        numbers = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(seen.__getitem__, distinct), np.int64, len(distinct))
+        numbers = place[coded.indices.to_numpy()] if len(distinct) else place
         n = self.begin[numbers + 1] - self.begin[numbers]
         upto = np.concatenate([[0], np.cumsum(n)])
         where = np.arange(upto[-1]) + np.repeat(self.begin[numbers] - upto[:-1], n)
-        return self.pool[where], upto[ends]
+        return self.pool[where], upto[ends - ends[0]]
 
 
 @functools.lru_cache(maxsize=1)
@@ -207,7 +214,7 @@ def encoder_words(path: str, pattern: str) -> Words:
     known: dict[str, list[int]] = {}
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > CACHE_WORDS // 2:
+        if len(known) > CACHE_PIECES:
             known.clear()
         ids: list[int] = []
         ends = []
@@ -239,7 +246,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_decoded: boo
         words = encoder_words(path, pattern)
         token = PrefixEncoder.of_file(path).token
         for b in batches:
-            ids, off = words.batch(b.column("text").to_pylist())
+            ids, off = words.batch(b.column("text"))
             decoded = []
             if keep_decoded:
                 values = ids.tolist()

@@ -79,9 +79,15 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int, rounds: int = ROUNDS
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    size = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[k] = (1 if a < base else size[a - base]) + (1 if b < base else size[b - base])
+    """The number of ids behind each rule: known once both sides' are, which a few passes settle."""
+    size = np.zeros(len(rules), np.int64)
+    left = np.arange(len(rules))
+    while len(left):
+        sides = rules[left]
+        known = np.where(sides < base, 1, size[np.maximum(sides - base, 0)])
+        ready = (known > 0).all(1)
+        size[left[ready]] = known[ready].sum(1)
+        left = left[~ready]
     return size
 
 
@@ -116,13 +122,16 @@ class Shard:
         self._pool: np.ndarray | None = None
 
     def _expansions(self) -> None:
-        """All nonterminals' ids in a row: a rule's are those of its sides, which come before it."""
-        begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        parts: list[np.ndarray] = []
-        base = self.base
-        for a, b in self.rules.tolist():
-            parts.append(np.concatenate([[a] if a < base else parts[a - base], [b] if b < base else parts[b - base]]))
-        self._pool, self._begin = np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), begin
+        """All nonterminals' ids in a row: both sides of every rule, replaced by theirs until only ids are left."""
+        s = self.rules.ravel()
+        while len(inner := np.flatnonzero(s >= self.base)):
+            n = np.ones(len(s), np.int64)
+            n[inner] = 2
+            at = (np.cumsum(n) - n)[inner]
+            sides = self.rules[s[inner] - self.base]
+            s = np.repeat(s, n)
+            s[at], s[at + 1] = sides[:, 0], sides[:, 1]
+        self._pool, self._begin = s.astype(np.uint32), np.concatenate([[0], np.cumsum(self.sizes)])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         if self._pool is None:
@@ -167,7 +176,7 @@ def library_words(path: str, pattern: str) -> bpe.Words:
     known: dict[str, list[int]] = {}
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > bpe.CACHE_WORDS // 2:
+        if len(known) > bpe.CACHE_PIECES:
             known.clear()
         ids: list[int] = []
         ends = []
@@ -191,7 +200,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     begins in the whole is found without its bytes.
     """
     spark = docs.sparkSession
-    common.small_batches(spark, 512)
+    common.small_batches(spark)
     base = Tokenizer.from_file(path).get_vocab_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +219,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
 
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
-            ids, off = words.batch(b.column("text").to_pylist())
+            ids, off = words.batch(b.column("text"))
             begin = 0
             while begin < len(doc_ids):
                 room = SHARD_IDS - sum(len(x) for _, x, _ in held)

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -32,11 +33,11 @@ def test_words_agree_with_the_library(reference):
     given = list(texts())
     words = bpe.encoder_words(PATH, P.PATTERN)
     for _ in range(2):  # the second time from the table
-        ids, off = words.batch(given)
+        ids, off = words.batch(pa.array(given))
         for k, t in enumerate(given):
             assert ids[off[k] : off[k + 1]].tolist() == reference.encode_ordinary(t), repr(t)
     words.size = 0
-    assert words.batch(["again"])[0].tolist() == reference.encode_ordinary("again")
+    assert words.batch(pa.array(["again"]))[0].tolist() == reference.encode_ordinary("again")
 
 
 def test_pieces_and_edits_agree_with_plain_merges(encoder):
