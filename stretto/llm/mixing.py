@@ -15,6 +15,8 @@ from . import common
 
 #: Documents of a slice of a source's keys, about.
 SLICE_ROWS = 20_000
+#: Sources up to which their table, a few numbers each, is broadcast; parts that a source falls into beyond.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,7 +75,13 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
         .select("s", F.col("last.slice").alias("last_slice"), F.col("last.before").alias("last_before"))
     )
     per_source = wanted.join(last, wanted.source.eqNullSafe(last.s), "left").drop("s").withColumnRenamed("source", "w")
-    joined = sized.join(per_source, sized.source.eqNullSafe(F.col("w"))).drop("w")
+    # a row per source: sent to all tasks while there are few sources, else met under salted keys; no source gathers in one task
+    if wanted.count() <= BROADCAST_SOURCES:
+        joined = sized.join(F.broadcast(per_source), sized.source.eqNullSafe(F.col("w"))).drop("w")
+    else:
+        salted = per_source.withColumn("salt_w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+        joined = rows.join(salted, rows.source.eqNullSafe(F.col("w")) & (F.col("salt") == F.col("salt_w"))).drop("w", "salt", "salt_w")
     running = Window.partitionBy("source").orderBy("sort_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("slice = last_slice").withColumn("after", F.col("last_before") + F.sum("size").over(running))
     # in as long as the sum with it is nearer the budget than the sum without it

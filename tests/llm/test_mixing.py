@@ -60,6 +60,7 @@ def test_slices_equal_one_sort(spark, monkeypatch):
     docs = spark.createDataFrame(rows(2), "doc_id long, source string, text string")
     one = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs).collect()) == one
 
 
