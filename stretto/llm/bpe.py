@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -148,14 +149,28 @@ SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 RUN = f"{SPACE}{SPACE}|\\A{SPACE}|{SPACE}\\z|\\x00"
 
 
+def plainly(word: str) -> bool:
+    """Whether a word is one space and then begins and ends with something else."""
+    return word[:1] == " " and len(word) > 1 and not word[1].isspace() and not word[-1].isspace() and "\0" not in word
+
+
+def by_word(words: list[str], pieces: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces' ids in a row and their number by word, told by where words and pieces end."""
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    within = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), "right")
+    return np.fromiter(chain.from_iterable(ids), np.uint32, upto[-1]), np.diff(upto[within], prepend=0)
+
+
 class Words:
     """Encodes texts by their words: a text is cut at single spaces, where pieces always end, and each word encoded once.
 
     Words seen stay in a table of bounded size, which starts anew when full. Texts with runs of white space are cut by the
-    whole pattern. encode: gives (all ids, their number for each word) of a list of words not seen yet.
+    whole pattern. encode: gives (all ids, their number for each word) of a list of words not seen yet, and is told
+    if all of them are plain: one space, then no white space at their beginning and end.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, size: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], pattern: str, size: int = CACHE_WORDS):
         self.encode, self.size = encode, size
         self.pattern = regex.compile(pattern)
         self.forget()
@@ -176,8 +191,8 @@ class Words:
         place[np.concatenate([np.flatnonzero(~run), np.flatnonzero(run)])] = np.arange(len(texts))
         return pa.concat_arrays([plain, whole]).take(pa.array(place))
 
-    def add(self, new: list[str]) -> None:
-        ids, sizes = self.encode(new)
+    def add(self, new: list[str], plain: bool) -> None:
+        ids, sizes = self.encode(new, plain)
         n = len(self.seen)
         while len(self.begin) < n + len(new) + 1:
             self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
@@ -196,9 +211,14 @@ class Words:
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offset
         coded = lists.flatten().dictionary_encode()
         distinct, seen = coded.dictionary.to_pylist(), self.seen
-        if new := [w for w in distinct if w not in seen]:
-            self.add(new)
-        place = np.fromiter(map(seen.__getitem__, distinct), np.int64, len(distinct))
+        place = np.fromiter(map(seen.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0).tolist()
+        plain = [k for k in new if plainly(distinct[k])]
+        rest = sorted(set(new).difference(plain)) if len(plain) < len(new) else []
+        for own in (plain, rest):
+            if own:
+                place[own] = np.arange(len(seen), len(seen) + len(own))
+                self.add([distinct[k] for k in own], own is plain)
         numbers = place[coded.indices.to_numpy()] if len(distinct) else place
         n = self.begin[numbers + 1] - self.begin[numbers]
         upto = np.concatenate([[0], np.cumsum(n)])
@@ -213,19 +233,14 @@ def encoder_words(path: str, pattern: str) -> Words:
     split = regex.compile(pattern).findall
     known: dict[str, list[int]] = {}
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE_PIECES:
             known.clear()
-        ids: list[int] = []
-        ends = []
-        for w in words:
-            for p in split(w):
-                got = known.get(p)
-                if got is None:
-                    got = known[p] = encoder.piece(p.encode())
-                ids += got
-            ends.append(len(ids))
-        return np.array(ids, np.uint32), np.diff(ends, prepend=0)
+        pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
+        for p in dict.fromkeys(pieces):
+            if p not in known:
+                known[p] = encoder.piece(p.encode())
+        return by_word(words, pieces, list(map(known.__getitem__, pieces)))
 
     return Words(encode, pattern)
 

@@ -172,22 +172,27 @@ def library_words(path: str, pattern: str) -> bpe.Words:
     others = iter(range(256, 512))
     spelled = {b: shown[b] if b in shown else chr(next(others)) for b in range(256)}
     alphabet = str.maketrans({chr(b): c for b, c in spelled.items()})
-    split = regex.compile(pattern).findall
+    but_nul = {k: v for k, v in alphabet.items() if k}
+    split, tokenize = regex.compile(pattern).findall, model.tokenize
     known: dict[str, list[int]] = {}
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces_of(words: list[str], plain: bool) -> list[str]:
+        """The words' pieces, known from now on. Plain words, in a row, fall into the same pieces as apart."""
+        pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
+        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
+        if plain:  # no NUL among them
+            names = "\0".join(fresh).encode().decode("latin-1").translate(but_nul).split("\0")
+        else:
+            names = [p.encode().decode("latin-1").translate(alphabet) for p in fresh]
+        for p, name in zip(fresh, names):
+            known[p] = [t.id for t in tokenize(name)]
+        return pieces
+
+    def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > bpe.CACHE_PIECES:
             known.clear()
-        ids: list[int] = []
-        ends = []
-        for w in words:
-            for p in split(w):
-                got = known.get(p)
-                if got is None:
-                    got = known[p] = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(alphabet))]
-                ids += got
-            ends.append(len(ids))
-        return np.array(ids, np.uint32), np.diff(ends, prepend=0)
+        pieces = pieces_of(words, plain)
+        return bpe.by_word(words, pieces, list(map(known.__getitem__, pieces)))
 
     return bpe.Words(encode, pattern)
 

@@ -50,3 +50,19 @@ def test_pieces_and_edits_agree_with_plain_merges(encoder):
         assert encoder.edited(piece, encoder.last_tokens(piece), new) == encoder.last_tokens(new)
         assert encoder.last_tokens(new, encoder.last_tokens(new[:at])) == encoder.last_tokens(new)
         assert encoder.decode(encoder.piece(new)) == new
+
+
+def test_library_words_agree_with_the_library():
+    from tokenizers import Tokenizer
+
+    from stretto.llm import repair
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    given = list(texts()) + [" ".join("abcdefg"[i % 7] * (1 + i % 5) + ",.'s\nx"[i % 7] + "q" for i in range(k)) for k in range(60)]
+    words = repair.library_words(path, P.PATTERN)
+    for _ in range(2):
+        ids, off = words.batch(pa.array(given))
+        for k, e in enumerate(t.encode_batch(given, add_special_tokens=False)):
+            assert ids[off[k] : off[k + 1]].tolist() == e.ids, repr(given[k])
