@@ -60,7 +60,7 @@ def test_library_words_agree_with_the_library():
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    given = list(texts()) + [" ".join("abcdefg"[i % 7] * (1 + i % 5) + ",.'s\nx"[i % 7] + "q" for i in range(k)) for k in range(60)]
+    given = list(texts()) + [" ".join("abcdefg"[i % 7] * (1 + i % 5) + ",.'s\nxé"[i % 7] + "q" for i in range(k)) for k in range(60)]
     words = repair.library_words(path, P.PATTERN)
     for _ in range(2):
         ids, off = words.batch(pa.array(given))
