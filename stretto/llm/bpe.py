@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's tables of words and of pieces seen; memory, not results, depends on it.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 300_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
 
 
 class PrefixEncoder:
@@ -154,12 +155,17 @@ def plainly(word: str) -> bool:
     return word[:1] == " " and len(word) > 1 and not word[1].isspace() and not word[-1].isspace() and "\0" not in word
 
 
-def by_word(words: list[str], pieces: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def packed(ids: list[int]) -> bytes:
+    """Ids as bytes: small, and nothing for the garbage collector to walk through."""
+    return array("I", ids).tobytes()
+
+
+def by_word(words: list[str], pieces: list[str], ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All pieces' ids in a row and their number by word, told by where words and pieces end."""
     ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
     within = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), "right")
-    return np.fromiter(chain.from_iterable(ids), np.uint32, upto[-1]), np.diff(upto[within], prepend=0)
+    return np.frombuffer(b"".join(ids), np.uint32), np.diff(upto[within], prepend=0)
 
 
 class Words:
@@ -231,7 +237,7 @@ def encoder_words(path: str, pattern: str) -> Words:
     """Words encoded by PrefixEncoder. A worker's next task goes on with the table."""
     encoder = PrefixEncoder.of_file(path)
     split = regex.compile(pattern).findall
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
 
     def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE_PIECES:
@@ -239,7 +245,7 @@ def encoder_words(path: str, pattern: str) -> Words:
         pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
         for p in dict.fromkeys(pieces):
             if p not in known:
-                known[p] = encoder.piece(p.encode())
+                known[p] = packed(encoder.piece(p.encode()))
         return by_word(words, pieces, list(map(known.__getitem__, pieces)))
 
     return Words(encode, pattern)

@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     sums = common.written(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
     wanted = wanted.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("long"))
-    wanted = common.written(wanted.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "targets")
+    wanted = common.written(wanted.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("budget", F.when(F.col("budget") >= 0.5, F.col("budget")).otherwise(0.0)), "targets")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
     placed = sums.withColumn("before", upto - F.col("words")).withColumnRenamed("source", "s")
     last = (

@@ -174,7 +174,7 @@ def library_words(path: str, pattern: str) -> bpe.Words:
     alphabet = str.maketrans({chr(b): c for b, c in spelled.items()})
     but_nul = {k: v for k, v in alphabet.items() if k}
     split, tokenize = regex.compile(pattern).findall, model.tokenize
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
 
     def pieces_of(words: list[str], plain: bool) -> list[str]:
         """The words' pieces, known from now on. Plain words, in a row, fall into the same pieces as apart."""
@@ -185,7 +185,7 @@ def library_words(path: str, pattern: str) -> bpe.Words:
         else:
             names = [p.encode().decode("latin-1").translate(alphabet) for p in fresh]
         for p, name in zip(fresh, names):
-            known[p] = [t.id for t in tokenize(name)]
+            known[p] = bpe.packed([t.id for t in tokenize(name)])
         return pieces
 
     def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -30,8 +30,8 @@ GRAM = 32
 BLOCK_BYTES = 8 << 20
 #: Bytes whose anchors are looked for together.
 PIECE = 1 << 20
-#: Documents of which splitters are taken, at most; they bear on balance only.
-SPLIT_DOCS = 400
+#: Documents of which splitters are taken, and words to choose among, at most; they bear on balance only.
+SPLIT_DOCS, SPLIT_WORDS = 400, 50_000
 BASE = 0x9E3779B97F4A7C15
 CODES = np.random.default_rng(20240917).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ROW = "block int, part int, kind string, data binary"
@@ -336,11 +336,17 @@ def classes(order: np.ndarray, common_: np.ndarray, depth: int) -> np.ndarray:
 
 def splitters(docs: DataFrame, parts: int, length: int, gram: int) -> np.ndarray:
     """Leading words at even distances among the anchors of a few documents (those of smallest hashed ids)."""
-    some = docs.orderBy(F.xxhash64("doc_id")).limit(SPLIT_DOCS).select(F.substring(F.col("text"), 1, 20_000).cast("binary")).collect()
-    texts = [bytes(r[0]) for r in some]
-    off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    words = np.unique(leading(data, anchors(data, off, length, gram)[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                data = np.frombuffer(t, np.uint8)
+                words = np.unique(leading(data, anchors(data, np.array([0, len(data)]), length, gram)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64))], names=["word"])
+
+    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SPLIT_DOCS).select(F.col("text").cast("binary").alias("text"))
+    words = some.mapInArrow(run, "word long").distinct().orderBy(F.xxhash64("word")).limit(SPLIT_WORDS).collect()
+    words = np.sort(np.array([r[0] for r in words], np.int64).view(np.uint64))
     return np.unique(words[np.linspace(0, len(words) - 1, parts + 1)[1:-1].astype(int)]) if len(words) > parts else words
 
 

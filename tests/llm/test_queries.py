@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 
 from stretto.llm import queries
@@ -31,3 +32,15 @@ def test_columns_and_rows(spark, name):
             assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{i}:{j}" for k, i, j in base).encode()).hexdigest()
             assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in ("email", "ip", "card", "phone")]
             assert {f"{k}:{i}:{j}" for k, i, j in base} <= set(r.spans.split(","))  | ({""} if not base else set())
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want
