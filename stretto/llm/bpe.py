@@ -216,7 +216,7 @@ class Words:
         lists = self.cut(texts)
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offset
         coded = lists.flatten().dictionary_encode()
-        distinct, seen = coded.dictionary.to_pylist(), self.seen
+        distinct, seen = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.seen
         place = np.fromiter(map(seen.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(place < 0).tolist()
         plain = [k for k in new if plainly(distinct[k])]
