@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.config import MatchSettings
-from ..operators import features, matching
+from ..functions.config import MatchSettings, PitchFeatureSettings
+from ..operators import features, matching, start, template
 from . import views as V
 
 
@@ -82,13 +82,34 @@ def locate(spark: SparkSession, sf: str) -> DataFrame:
     return matching.locate(templates, queries, contexts, events).withColumn("score", F.round("score", 6)).withColumn("confidence", F.round("confidence", 6))
 
 
+def start_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of a tenth of a second; the query of a label is its own frames from its third note on, slightly off."""
+    seq = V.features(spark, sf).withColumnRenamed("seq_id", "pair")
+    events = seq.where("idx % 5 = 0").select("pair", F.col("idx").alias("note_id"), F.lit(1).alias("measure"), F.col("idx").cast("double").alias("beat"), (F.col("idx") * F.lit(0.1)).alias("start_sec"), ((F.col("idx") + 5) * F.lit(0.1)).alias("end_sec"), (F.lit(48) + F.col("idx") % 36).cast("double").alias("pitch_midi"))
+    starts = seq.select("pair").distinct().select("pair", F.lit(1).alias("measure"), F.lit(3).alias("note_index"))
+    queries = seq.where("idx between 12 + pair % 3 and 23 + pair % 3").withColumn("idx", F.col("idx") - 12 - F.col("pair") % 3).withColumn("vec", F.transform("vec", lambda x: x * 1.01 + 0.001))
+    out = start.detect_starts(seq, queries, events, starts, 0.1)
+    return out.select("pair", "started", F.round("template_sec", 6).alias("template_sec"), F.round("detected_sec", 6).alias("detected_sec"), "note_id", "pitch", F.round("onset", 6).alias("onset"))
+
+
+def template_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The coarse frames of templates made of each label's vectors."""
+    seq = V.features(spark, sf)
+    events = seq.where("idx % 5 = 0").select("seq_id", F.col("idx").alias("note_id"), F.col("idx").cast("double").alias("start_sec"), (F.col("idx") + 5.0).alias("end_sec"))
+    durations = seq.select("seq_id").distinct().withColumn("duration_sec", F.lit(30.0))
+    frames, notes = template.build(seq, events, durations, PitchFeatureSettings(context_sec=0.0))
+    sums = frames.where("kind = 'coarse'").groupBy("template_id").agg(F.count("*").alias("coarse_frames"))
+    ends = notes.groupBy(F.col("seq_id").alias("template_id")).agg(F.round(F.max("end_sec"), 6).alias("last_end"), F.count("*").alias("n_notes"))
+    return sums.join(ends, "template_id")
+
+
 GLOBAL = MatchSettings()
 QUERIES = {
     "smooth": smooth, "l2_frames": l2_frames, "delta": delta, "context_mean": context_mean, "avg_pool": avg_pool, "zscore_pair": zscore_pair, "shared_minmax": shared_minmax, "slice_window": slice_window,
     "coarse_topk": coarse_topk, "rigid_match": _rigid("l2"), "rigid_match_cosine": _rigid("cosine"),
     "dtw_subsequence": _kernel(lambda t, q: matching.best_global(t, q, MatchSettings(metric="l2", margin=0.0, tiebreak="min_cost"))), "dtw_banded": _kernel(lambda t, q: matching.banded(t, q, 0.12)),
     "dtw_topk_diverse": _kernel(lambda t, q: matching.diverse(t, q, 5)), "coarse_refine": _kernel(lambda t, q: matching.coarse_refined(t, q)),
-    "global_match": _kernel(lambda t, q: matching.best_global(*matching.normalized(t, q, "z_score"), GLOBAL)), "locate": locate,
+    "global_match": _kernel(lambda t, q: matching.best_global(*matching.normalized(t, q, "z_score"), GLOBAL)), "locate": locate, "start_detect": start_detect, "template_build": template_build,
 }
 
 FEAT = f"with {V.V_FEAT}, c as (select seq_id, idx, unnest(generate_series(0, len(vec) - 1))::int as d, unnest(vec) as x from v_feat)"
@@ -125,6 +146,10 @@ SQL = {
     "dtw_subsequence": f"{PAIR}, {_walk('list_distance(t.vec, q.vec)')} {_FOUND} qualify row_number() over (partition by pair order by ends.cost, i) = 1",
     "dtw_banded": f"{PAIR}, {_walk('list_distance(t.vec, q.vec)', True)} {_FOUND} qualify row_number() over (partition by pair order by ends.cost, i) = 1",
     "global_match": f"{_ZPAIR}, {_walk('1 - list_cosine_similarity(t.vec, q.vec)')} {_FOUND} where ends.cost <= least * 1.05 + 1e-9 qualify row_number() over (partition by pair order by start, ends.cost) = 1",
+    "start_detect": f"""with {V.V_FEAT}, p as (select distinct seq_id as pair, 12 + seq_id % 3 as first from v_feat)
+      select pair, true as started, round(10 * 0.1::double, 6) as template_sec, round(first * 0.1::double, 6) as detected_sec, case when first * 0.1::double - 10 * 0.1::double <= 0.15 then 10 else first // 5 * 5 end as note_id,
+        (['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'])[(48 + note_id % 36) % 12 + 1] || ((48 + note_id % 36) // 12 - 1) as pitch, round(first * 0.1::double - 10 * 0.1::double, 6) as onset from p""",
+    "template_build": f"with {V.V_FEAT} select seq_id as template_id, count(*) // 4 as coarse_frames, 30.0::double as last_end, count(*) filter (idx % 5 = 0) as n_notes from v_feat group by seq_id",
     "smooth": f"{FEAT} select seq_id, idx, d, round(sum(x) over (partition by seq_id, d order by idx rows between 5 preceding and 5 following) / 11.0, 5) as x from c",
     "l2_frames": f"{FEAT} select seq_id, idx, d, round(x / sqrt(sum(x * x) over (partition by seq_id, idx)), 5) as x from c",
     "delta": f"{FEAT}, e as (select seq_id, idx, d, x from c union all select seq_id, idx, d + 64, x - coalesce(lag(x) over (partition by seq_id, d order by idx), x) from c) select seq_id, idx, d::int as d, round(x, 5) as x from e",

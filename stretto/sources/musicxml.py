@@ -264,6 +264,6 @@ def note_events(items: DataFrame, default_tempo: float = 60.0, part_id: str | No
 
 
 def score_id(path: Column) -> Column:
-    """A readable id: the file's name and eight characters of chance."""
+    """A readable id: the file's name and eight characters of its path's hash."""
     stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return F.concat_ws("_", M.slug(stem), F.substring(F.uuid(), 1, 8))
+    return F.concat_ws("_", M.slug(stem), F.substring(F.sha2(path, 256), 1, 8))
