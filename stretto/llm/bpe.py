@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's tables of words and of pieces seen; memory, not results, depends on it.
-CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 250_000
 
 
 class PrefixEncoder:
@@ -147,14 +147,10 @@ class PrefixEncoder:
 #: A run of white space that is not one plain character between two words keeps its text from being cut at spaces. Written out
 #: for an engine whose \\s is ASCII; a NUL, which marks the cuts, counts as well.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PLAIN = f"\\A [^\\x00{SPACE[1:]}(?:[^\\x00]*[^\\x00{SPACE[1:]})?\\z"  # one space, then white space at neither end
 RUN = f"{SPACE}{SPACE}|\\A{SPACE}|{SPACE}\\z|\\x00"
 
 
-def plainly(word: str) -> bool:
-    """Whether a word is one space and then begins and ends with something else."""
-    return word[:1] == " " and len(word) > 1 and not word[1].isspace() and not word[-1].isspace() and "\0" not in word
-
-
 def packed(ids: list[int]) -> bytes:
     """Ids as bytes: small, and nothing for the garbage collector to walk through."""
     return array("I", ids).tobytes()
@@ -218,13 +214,12 @@ class Words:
         coded = lists.flatten().dictionary_encode()
         distinct, seen = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.seen
         place = np.fromiter(map(seen.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(place < 0).tolist()
-        plain = [k for k in new if plainly(distinct[k])]
-        rest = sorted(set(new).difference(plain)) if len(plain) < len(new) else []
-        for own in (plain, rest):
-            if own:
+        new = np.flatnonzero(place < 0)
+        plain = pc.match_substring_regex(coded.dictionary.take(pa.array(new)), PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        for own, are_plain in ((new[plain], True), (new[~plain], False)):
+            if len(own):
                 place[own] = np.arange(len(seen), len(seen) + len(own))
-                self.add([distinct[k] for k in own], own is plain)
+                self.add([distinct[k] for k in own.tolist()], are_plain)
         numbers = place[coded.indices.to_numpy()] if len(distinct) else place
         n = self.begin[numbers + 1] - self.begin[numbers]
         upto = np.concatenate([[0], np.cumsum(n)])
