@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's tables of words and of pieces seen; memory, not results, depends on it.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
 
 
 class PrefixEncoder:

@@ -52,7 +52,7 @@ def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = f"{common.shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     repair.write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, target)
     shards = spark.read.schema(repair.SHARDS).parquet(target)
-    return repair.positions(shards, repair.read_shards(shards).drop("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return repair.positions(shards, repair.read_shards(shards, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

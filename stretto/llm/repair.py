@@ -248,8 +248,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     ranged.mapInArrow(run, SHARDS).write.parquet(target)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and the ids of each document, decoded from what write_shards wrote."""
+def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 and (or null) the ids of each document, decoded from what write_shards wrote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +259,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
                 k = len(crc)
                 docs = pa.array(s.docs, pa.int64(), mask=s.docs == np.iinfo(np.int64).max)
-                lists = pa.ListArray.from_arrays(pa.array(s.offsets, pa.int32()), pa.array(ids.view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(s.offsets, pa.int32()), pa.array(ids.view(np.int32))) if with_ids else pa.nulls(k, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([first] * k, pa.int64()), pa.array([number] * k, pa.int64()), docs, pa.array(s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64()), lists],
                     names=["first", "number", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"],
