@@ -27,6 +27,8 @@ PLAN_SAMPLE = 2048
 #: Fingerprints under one probe that one task compares at once; larger groups are cut into parts of this size, and each pair of
 #: parts is a group of its own.
 PART = 4096
+#: Large groups, a key and a count each, up to which their list is broadcast; beyond, probes meet it by a shuffle.
+BROADCAST_GROUPS = 100_000
 #: A probe's cost in compared pairs.
 PROBE_COST = 60.0
 WORDS = ("fp", "w1", "w2", "w3")
@@ -247,6 +249,9 @@ def links(classes: DataFrame, tau: int = 3, wide: int | None = None) -> DataFram
     own = ["id", *(WORDS if wide is not None else WORDS[:1])]
     groups = classes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     probed = classes.select(*own, F.explode(keys).alias("key"))
+    groups = common.written(groups, "hot")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     # only groups too large for one task are looked up: they are cut into parts, and each two parts are compared
     parts = probed.join(groups, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int"))
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
