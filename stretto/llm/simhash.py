@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -239,13 +239,17 @@ def verified(batches: Iterator[pa.RecordBatch], tau: int, wide: int | None) -> I
         yield out
 
 
-def links(classes: DataFrame, tau: int = 3, wide: int | None = None) -> DataFrame:
-    """x, y: ids that connect all rows of classes (id, fp and, with wide, w1 to w3; distinct) within tau bits of each other."""
+def links(classes: DataFrame, tau: int = 3, wide: int | None = None, keys: Column | None = None) -> DataFrame:
+    """x, y: ids that connect all rows of classes (id, fp and, with wide, w1 to w3; distinct) within tau bits of each other.
+
+    With keys, an array of longs, only rows that share one of these are compared.
+    """
     spark = classes.sparkSession
-    total = classes.count()
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
-    probes = [(k, mask) for k, masks in plan(sample, total, tau) for mask in masks] if len(sample) else [(0, 0)]
-    keys = F.array(*[F.xxhash64(F.lit(k), F.lit(signed(mask)), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for k, mask in probes])
+    if keys is None:
+        total = classes.count()
+        sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
+        probes = [(k, mask) for k, masks in plan(sample, total, tau) for mask in masks] if len(sample) else [(0, 0)]
+        keys = F.array(*[F.xxhash64(F.lit(k), F.lit(signed(mask)), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for k, mask in probes])
     own = ["id", *(WORDS if wide is not None else WORDS[:1])]
     groups = classes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     probed = classes.select(*own, F.explode(keys).alias("key"))
@@ -282,18 +286,142 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 3, wide: int |
     return prints.join(placed.join(least, "root").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
 
 
-#: For texts alike in four fifths of their five-word shingles: bits of 64 to look within, and bits of 256 to be within.
-ALIKE_TAU, ALIKE_WIDE = 12, 44
+#: Bands of least hashes, and least hashes in each: a pair of Jaccard similarity 0.8 shares no band with probability 3e-6.
+BANDS, BAND_ROWS = 24, 4
+#: Bits of 64 and of 256 within which such a pair falls but with probability 4e-7, or 5e-5 for texts of five shingles: the
+#: fingerprints are of distinct shingles, their bits differ with probability 0.152, or 0.188 there.
+ALIKE_TAU, ALIKE_WIDE = 26, 74
+#: Shingles of a part of a group of candidates, about; larger groups are cut, and each two parts are compared.
+TILE_SHINGLES = 1 << 20
+
+
+def band_keys(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each text with hashes; found holds all hashes, counts their number by text."""
+    n = counts[counts > 0]
+    starts = np.cumsum(n) - n
+    factors = np.random.default_rng(29).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(n), BANDS), np.uint64)
+    if len(n):
+        for band in range(BANDS):
+            out[:, band] = band + 1
+            for factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+                out[:, band] = remixed(out[:, band] ^ np.minimum.reduceat(found * factor, starts), FACTORS[0])
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_key, id (texts of the same shingles share it), n (distinct shingles), 256 bits, bands (none without words)."""
+    common.small_batches(docs.sparkSession)
+    names = ["doc_id", "text_key", "id", "n", *WORDS, "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(np.array(hashes(text, shingle), np.uint64)) for text in b.column("text").to_pylist()]
+            counts = np.array([len(h) for h in got], np.int64)
+            every = np.concatenate(got) if got else np.zeros(0, np.uint64)
+            ids = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in got], np.uint64).view(np.int64))
+            words = [majority(every, counts), *[majority(remixed(every, f), counts) for f in FACTORS]]
+            ends = pa.array(np.r_[0, np.cumsum((counts > 0) * BANDS)], pa.int32())
+            bands = pa.ListArray.from_arrays(ends, pa.array(band_keys(every, counts).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), ids, pa.array(counts), *[pa.array(w.view(np.int64)) for w in words], bands], names=names)
+
+    table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("binary").alias("text"))
+    return table.mapInArrow(run, "doc_id long, text_key long, id long, n long, fp long, w1 long, w2 long, w3 long, bands array<long>")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the smallest position that links reach: sets of Jaccard similarity 0.8 or more link. Members are distinct."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    every, at = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    off = np.r_[0, np.cumsum(size)]
+    root, own = np.arange(len(sets)), np.zeros(len(every), bool)
+    for i in range(len(sets)):
+        # a set over 5/4 of another's size is not alike
+        rest = np.arange(i + 1, np.searchsorted(size, size[i] * 5 // 4, "right"))
+        rest = rest[root[rest] != root[i]]
+        if not len(rest):
+            continue
+        own[at[off[i] : off[i + 1]]] = True
+        begin = np.cumsum(size[rest]) - size[rest]
+        members = at[np.arange(size[rest].sum()) + np.repeat(off[rest] - begin, size[rest])]
+        shared = np.add.reduceat(own[members], begin, dtype=np.int64)
+        own[at[off[i] : off[i + 1]]] = False
+        hit = rest[9 * shared >= 4 * (size[i] + size[rest])]
+        if len(hit):
+            joined = np.isin(root, np.r_[root[i], root[hit]])
+            root[joined] = root[joined].min()
+    least = np.full(len(sets), len(sets))
+    np.minimum.at(least, root, order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = least[root]
+    return out
+
+
+def alike_links(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """x, y: ids that connect all members (id, text_key, n, root) of one root whose shingles have Jaccard similarity 0.8 or more.
+
+    texts has a text for each text_key. The shingles themselves are compared, those of a bounded tile at once.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("parts"))
+    members = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int"))
+    rows = texts.join(members.drop("n"), "text_key").dropDuplicates(["text_key"])
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "root", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id", F.col("text").cast("binary").alias("text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def settle() -> pa.RecordBatch:
+            root = alike(sets)
+            own = np.flatnonzero(root != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own], pa.int64()), pa.array([ids[root[k]] for k in own], pa.int64())], names=["x", "y"])
+
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in ("root", "a", "b")])
+            for key, i, text in zip(keys, batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                if key != now and len(ids) > 1:
+                    yield settle()
+                if key != now:
+                    now, ids, sets = key, [], []
+                ids.append(i)
+                sets.append(np.unique(np.array(hashes(text, shingle), np.uint64)))
+        if len(ids) > 1:
+            yield settle()
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(run, "x long, y long")
+
+
+def alike_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_key and root (the same in all of a group) for every row: texts of Jaccard similarity 0.8 or more link.
+
+    Least hashes in bands propose, 256 bits of fingerprint drop what is far from alike, and what is then connected is compared by
+    its shingles. Texts without words, null ones too, are one group.
+    """
+    prints = common.written(sketches(docs, shingle), "prints")
+    classes = prints.groupBy("id").agg(*[F.first(c).alias(c) for c in (*WORDS, "bands", "n")], F.min("text_key").alias("text_key"))
+    classes = common.written(classes, "classes")
+    near = common.connected(links(classes.where("n > 0"), ALIKE_TAU, ALIKE_WIDE, F.col("bands")), "x", "y")
+    near = near.union(near.select("root", "root")).distinct()
+    members = common.written(classes.join(near, classes.id == near.node).select("id", "text_key", "n", "root"), "members")
+    roots = common.connected(alike_links(docs.select(text_key(), F.coalesce("text", F.lit("")).alias("text")), members, shingle), "x", "y")
+    return prints.join(roots, prints.id == roots.node, "left").select("doc_id", "text_key", F.coalesce("root", "id").alias("root"))
 
 
-def kept_documents(docs: DataFrame, shingle: int = 5, tau: int = ALIKE_TAU, wide: int = ALIKE_WIDE) -> DataFrame:
+def kept_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of docs, with all its columns, for each group of near copies: that of the smallest doc_id.
 
     Of rows that share that doc_id one stays. Texts without words, null ones too, are one group. Rows with a null doc_id go when
     their group has others; otherwise one stays.
     """
     columns = [F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)]
-    classes = near_duplicates(docs.select("doc_id", "text"), shingle, tau, wide)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    first = alike_groups(docs, shingle).groupBy("root").agg(F.min("doc_id").alias("stays")).select("stays").distinct()
     rows = docs.select("doc_id", *columns).join(first, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
     return rows.dropDuplicates(["doc_id"]).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -102,3 +102,52 @@ def test_kept_documents(spark):
     want = [group.index(g) for g in range(40)]
     assert sorted(r.doc_id for r in kept.collect()) == sorted([*want, 1000])
     assert simhash.kept_documents(docs.limit(0)).count() == 0
+
+
+def shingled(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_groups(texts):
+    sets = [shingled(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and len(a & b) / len(a | b) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def around_the_threshold(seed, groups=150):
+    """Texts with a partner of similarity from 0.7 to 0.9, single ones, chains, short ones and ones that repeat their words."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    texts = ["a b c d e f g h i", "a b c d e f g h", "word " * 300, "word " * 5000, None, "", "one", "one two"]
+    for _ in range(groups):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 40, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            base = base[rng.randrange(3) :] + [rng.choice(words) for _ in range(int(len(base) * rng.uniform(0.05, 0.18)))]
+            texts.append(" ".join(base))
+    return texts
+
+
+def test_kept_documents_equal_brute_force_at_the_threshold(spark, monkeypatch):
+    texts = around_the_threshold(11)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = brute_groups(texts)
+    want = sorted({root.index(r) for r in root})
+    assert len(want) < len(texts) - 50
+    assert sorted(r.doc_id for r in simhash.kept_documents(docs).collect()) == want
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 150)  # groups cut into parts
+    assert sorted(r.doc_id for r in simhash.kept_documents(docs).collect()) == want
+
+
+def test_alike_is_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64), np.arange(7, dtype=np.uint64) + np.uint64(100)]
+    sets += [np.unique(rng.integers(0, 14, 30).astype(np.uint64) + np.uint64(200)) for _ in range(60)]
+    a, b = np.nonzero([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8 for y in sets] for x in sets])
+    assert simhash.alike(sets).tolist() == simhash.common.components(len(sets), a, b).tolist()
