@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -310,9 +310,9 @@ def band_keys(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, id (texts of the same shingles share it), n (distinct shingles), 256 bits, bands (none without words)."""
+    """doc_id, text_key, row_key, id (texts of the same shingles share it), n (distinct shingles), 256 bits, bands (none without words)."""
     common.small_batches(docs.sparkSession)
-    names = ["doc_id", "text_key", "id", "n", *WORDS, "bands"]
+    names = ["doc_id", "text_key", "row_key", "id", "n", *WORDS, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,16 +323,21 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             words = [majority(every, counts), *[majority(remixed(every, f), counts) for f in FACTORS]]
             ends = pa.array(np.r_[0, np.cumsum((counts > 0) * BANDS)], pa.int32())
             bands = pa.ListArray.from_arrays(ends, pa.array(band_keys(every, counts).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), ids, pa.array(counts), *[pa.array(w.view(np.int64)) for w in words], bands], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("row_key"), ids, pa.array(counts), *[pa.array(w.view(np.int64)) for w in words], bands], names=names)
 
-    table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("binary").alias("text"))
-    return table.mapInArrow(run, "doc_id long, text_key long, id long, n long, fp long, w1 long, w2 long, w3 long, bands array<long>")
+    table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), row_key(), F.col("text").cast("binary").alias("text"))
+    return table.mapInArrow(run, "doc_id long, text_key long, row_key long, id long, n long, fp long, w1 long, w2 long, w3 long, bands array<long>")
 
 
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
 
+def row_key() -> Column:
+    """Rows of one doc_id, null or not, and one text share it."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull(), F.col("doc_id")).alias("row_key")
+
+
 def alike(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the smallest position that links reach: sets of Jaccard similarity 0.8 or more link. Members are distinct."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -400,7 +405,7 @@ def alike_links(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame
 
 
 def alike_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key and root (the same in all of a group) for every row: texts of Jaccard similarity 0.8 or more link.
+    """doc_id, text_key, row_key and root (the same in all of a group) for every row: texts of Jaccard similarity 0.8 or more link.
 
     Least hashes in bands propose, 256 bits of fingerprint drop what is far from alike, and what is then connected is compared by
     its shingles. Texts without words, null ones too, are one group.
@@ -412,16 +417,19 @@ def alike_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     near = near.union(near.select("root", "root")).distinct()
     members = common.written(classes.join(near, classes.id == near.node).select("id", "text_key", "n", "root"), "members")
     roots = common.connected(alike_links(docs.select(text_key(), F.coalesce("text", F.lit("")).alias("text")), members, shingle), "x", "y")
-    return prints.join(roots, prints.id == roots.node, "left").select("doc_id", "text_key", F.coalesce("root", "id").alias("root"))
+    return prints.join(roots, prints.id == roots.node, "left").select("doc_id", "text_key", "row_key", F.coalesce("root", "id").alias("root"))
 
 
 def kept_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of docs, with all its columns, for each group of near copies: that of the smallest doc_id.
+    """One row of docs, with all its columns, for each group of near copies: that of the smallest doc_id, nulls last.
 
-    Of rows that share that doc_id one stays. Texts without words, null ones too, are one group. Rows with a null doc_id go when
-    their group has others; otherwise one stays.
+    Of a group's rows that share that doc_id, null ones too, one stays: by the text's hash, then by that of all columns. Groups do
+    not touch one another, whatever doc_ids they share. Texts without words, null ones too, are one group.
     """
     columns = [F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)]
-    first = alike_groups(docs, shingle).groupBy("root").agg(F.min("doc_id").alias("stays")).select("stays").distinct()
-    rows = docs.select("doc_id", *columns).join(first, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row_key")
+    stays = common.written(alike_groups(docs, shingle).groupBy("root").agg(F.min(order)["row_key"].alias("row_key")).select("row_key"), "stays")
+    rows = docs.select(row_key(), *columns).join(stays, "row_key", "left_semi")
+    first = Window.partitionBy("row_key").orderBy(F.xxhash64(*[f"own_{k}" for k in range(len(columns))]))
+    rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -151,3 +151,13 @@ def test_alike_is_exact():
     sets += [np.unique(rng.integers(0, 14, 30).astype(np.uint64) + np.uint64(200)) for _ in range(60)]
     a, b = np.nonzero([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8 for y in sets] for x in sets])
     assert simhash.alike(sets).tolist() == simhash.common.components(len(sets), a, b).tolist()
+
+
+def test_kept_documents_one_row_a_group(spark):
+    texts = [" ".join(f"{t}{k}" for k in range(30)) for t in "abcdef"]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 3), (None, None, 4), (7, texts[2], 5), (7, texts[3], 6), (7, texts[3], 6), (2, texts[2], 7), (9, texts[4], 8), (None, texts[4], 9), (9, texts[5], 10), (9, texts[5] + " more", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = [tuple(r) for r in simhash.kept_documents(docs).collect()]
+    assert all(r in rows for r in kept) and sorted(r[2] for r in kept if r[2] not in (2, 3, 10, 11)) == [1, 4, 6, 7, 8]
+    assert len([r for r in kept if r[2] in (2, 3)]) == 1 and len([r for r in kept if r[2] in (10, 11)]) == 1
+    assert sorted(map(tuple, simhash.kept_documents(docs.repartition(3, "n")).collect()), key=str) == sorted(kept, key=str)
