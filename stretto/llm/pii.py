@@ -2,13 +2,16 @@
 
 Base spans (email, ip, card, phone) are found by patterns and checks of their own and always stay. Generators with high recall
 propose further spans, overlapping ones too: looser separators, spelled-out addresses, missing plus signs. Gradient-boosted trees
-score each candidate by its format and its context; they learn from candidates of a bounded sample of documents, where those that
-are base spans are the examples to find and those that touch none are the rest. A threshold per kind, read off held-out documents
-by isotonic calibration, decides which candidates are added.
+score each candidate by its format and its context; they learn from candidates of a bounded sample of documents. The examples to
+find are base spans, as they stand and rewritten in place to the looser forms; the rest are candidates that touch no base span and
+fail a check of their kind, and rewritten spans spoiled so that they fail it. Candidates that pass the check teach nothing, as
+nobody has said what they are. A threshold per kind, read off held-out documents by isotonic calibration, decides which candidates
+are added.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,9 +36,10 @@ BASE = {
 PROPOSED = [
     ("email", re.compile(r"[\w.%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,64}(?:(?: ?(?:\.|\(dot\)|\[dot\]) ?| dot )[\w-]{2,32}){1,4}")),
     ("email", re.compile(r"[\w.%+-]{1,64} at [\w-]{1,64}(?: dot [\w-]{2,32}){1,4}")),
-    ("email", re.compile(r"[^\s@,;:<>()]{1,64}@[^\s@,;:<>()]{1,128}")),
+    ("email", re.compile(r"[\w.%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,64}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[\w-]{2,32}){1,4}")),
+    ("email", re.compile(r"[^\s@,;:<>()]{1,64}@[^\s@,;:<>()]{0,127}\w")),
     ("ip", re.compile(r"(?<![0-9])[0-9]{1,3}(?:[.,:] ?[0-9]{1,3}){3}(?![0-9])")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])")),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .\-_/]?[0-9]){11,19}(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ .\-_/]{1,2}[0-9]{4}){2,3}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?[0-9(][0-9() ./-]{6,22}[0-9](?![0-9A-Za-z])")),
@@ -43,6 +47,11 @@ PROPOSED = [
 ]
 DIGIT = re.compile("[0-9]")
 CUES = re.compile(r"(?i)mail|e-mail|contact|tel|phone|fon|call|fax|card|visa|account|ip\b|host|server|address|token|password|key|version|isbn|license")
+CALLS = re.compile(r"(?i)\b(?:tel|phone|telephone|telefon|fon|call|fax|mobile|mobil|cell)\b")
+#: Last labels that a spelled-out address ("at", "dot") may end in.
+ENDINGS = set("com org net edu gov mil int info biz io ai app dev co me tv eu de fr uk us ca au at ch nl be es it pt pl se no fi dk cz ru jp cn in br mx kr ie nz za".split())
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}(?![0-9]).*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}(?![0-9]).*")
+CALLED = re.compile(r"(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9() ./-]+|\(?0[1-9][0-9]{1,4}\)?[ ./-][0-9 -]+|[1-9][0-9]{0,2}[ .-]?\([0-9]{2,5}\)[ .-]?[0-9 .-]+")
 #: Documents whose candidates are learned from, at most (those of smallest hashed ids).
 TRAIN_DOCS = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
@@ -70,6 +79,55 @@ def holds(kind: str, text: str) -> bool:
     return True
 
 
+def plausible(kind: str, text: str, before: str = "") -> bool:
+    """Whether a candidate of a looser form may be of its kind; stricter than what proposes it. before: the text before it."""
+    if kind == "email":
+        bare = re.sub(r" ?(?:@|[(\[]at[)\]]) ?| at ", "@", text)
+        local, _, domain = re.sub(r" ?[(\[]dot[)\]] ?| dot ", ".", bare).partition("@")
+        labels = domain.split(".")
+        ends = labels[-1].lower()
+        spelled = " at " in text or " dot " in text
+        return len(labels) > 1 and all(labels) and any(c.isalnum() for c in local) and (ends in ENDINGS if spelled else ends.isalpha() and 2 <= len(ends) <= 24)
+    if kind == "ip":
+        try:
+            ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        return True
+    digits = "".join(DIGIT.findall(text))
+    groups = [len(g) for g in re.findall("[0-9]+", text)]
+    if kind == "card":
+        even = groups in ([4, 6, 5], [len(digits)]) or all(g == 4 for g in groups[:-1]) and groups[-1] <= 4
+        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits) and even and len(set(re.findall("[^0-9]+", text))) <= 1
+    if not 9 <= len(digits) <= 15 or DATE.fullmatch(text) or text.count("(") != text.count(")") or re.fullmatch(r"[0-9]+\.[0-9]+|97[89].*", text):
+        return False
+    return CALLED.fullmatch(text) is not None or CALLS.search(before) is not None
+
+
+def rewritten(kind: str, text: str) -> list[tuple[str, int]]:
+    """Looser forms of a base span (1), and some spoiled so that they are none (0)."""
+    if kind == "email":
+        local, _, domain = text.partition("@")
+        labels = domain.split(".")
+        forms = [(" at ", " dot "), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" @ ", "."), ("@", " dot ")]
+        out = [local + a + d.join(labels) for a, d in forms] + [local + a + d.join([*labels[:-1], "matrix7"]) for a, d in forms]
+    elif kind == "ip":
+        h = [f"{int(p) % 256:x}" for p in text.split(".")]
+        whole = ["2001", "db8", *(f"{a}{b.zfill(2)}" for a in h[:2] for b in h[2:]), h[0], h[3]]
+        out = [":".join(whole), "fe80::" + ":".join(whole[2:6]), "2001:db8::" + h[3], ":".join(whole[:7]), ":".join(h[:3]), ", ".join(map(str, text.split("."))), ":".join([*whole[:5], "", "", h[0]]).replace("::", ":")]
+    elif kind == "card":
+        digits = "".join(DIGIT.findall(text))
+        wrong = digits[:-1] + str((int(digits[-1]) + 3) % 10)
+        out = [s.join(d[k : k + 4] for k in range(0, len(d), 4)) for d in (digits, wrong) for s in "./_"]
+    else:
+        d = "".join(DIGIT.findall(text))
+        out = [text[1:], "00" + text[1:], "00" + d]
+        if len(d) >= 10:
+            a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+            out += [f"({a}) {b}-{c}", *(s.join([a, b, c]) for s in "-. "), f"{a}{b}{c}", f"20{a[:2]}-0{b[0]}-1{b[1]} {c}", f"{a[0]}.{d[-9:]}", f"{a} {b} {c[:3]} {a}", " ".join([a[:2], b[:2], c[:2], a[1:], b[1:]])]
+    return [(t, int(plausible(kind, t))) for t in out]
+
+
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(BASE["email"].pattern.partition("@")[2])
 
@@ -110,7 +168,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return list(found)
 
 
-FEATURES = 26
+FEATURES = 27
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -126,6 +184,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         max((int(g) for g in groups if len(g) < 10), default=0), own.count("."), own.count("-"), own.count(" "), own.count("@"), own.count(":"), own.count("("), own.startswith("+"),
         len(own.rsplit(".", 1)[-1]) if "." in own else 0, int(digits[0]) if digits else -1, len(set(digits)), luhn("".join(digits)) if 12 <= len(digits) <= 20 else 0,
         ord(before[-1]) if before else 0, ord(after[0]) if after else 0, len(cue), sum(c.isdigit() for c in before[-15:] + after[:15]), before[-1:].isalnum() or after[:1].isalnum(),
+        plausible(kind, own, before),
     ]
 
 
@@ -208,19 +267,29 @@ class Model:
             own = own[np.argsort(z[own], kind="stable")]
             good = np.flatnonzero(isotonic(y[own].astype(float)) >= PRECISION)
             if len(good) and y[own].any():
-                model.thresholds[kind] = float(z[own[good[0]]])
+                # half way to the next lower one
+                model.thresholds[kind] = float((z[own[good[0]]] + z[own[max(0, good[0] - 1)]]) / 2)
         return model
 
 
 def learnable(text: str) -> Iterator[tuple[list[float], int]]:
-    """Features and labels of a text's candidates: base spans are 1, those that touch none 0, others say nothing."""
+    """Features and labels of a text's candidates: base spans, also as rewritten, are 1; what is not plausible, also as rewritten
+    and spoiled, is 0. Plausible candidates that touch no base span say nothing, but for addresses of the newer sort, which are 1."""
     base = base_spans(text)
     exact = set(base)
     for kind, i, j in candidates(text):
         if (kind, i, j) in exact:
             yield describe(text, kind, i, j), 1
         elif not any(i < e and s < j for _, s, e in base):
-            yield describe(text, kind, i, j), 0
+            good = plausible(kind, text[i:j], text[max(0, i - 40) : i])
+            if not good or kind == "ip":
+                yield describe(text, kind, i, j), int(good)
+    for kind, i, j in base:
+        before, after = text[max(0, i - 80) : i], text[j : j + 80]
+        for form, y in rewritten(kind, text[i:j]):
+            own = before + form + after
+            if (kind, len(before), len(before) + len(form)) in candidates(own):
+                yield describe(own, kind, len(before), len(before) + len(form)), y or int(plausible(kind, form, before[-40:]))
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:

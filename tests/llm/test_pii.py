@@ -87,3 +87,26 @@ def test_candidates_reach_beyond_the_base():
     assert ("phone", 0, 12) in pii.candidates("274-555-9629")
     assert any(k == "email" for k, *_ in pii.candidates("jo at mail dot example dot com"))
     assert pii.redacted("a x@y.zz b", [("email", 2, 8)]) == "a [EMAIL] b"
+
+
+PLANTED = [
+    ("email", "jo at mail dot example dot com"), ("email", "ann.lee (at) mail.example.org"), ("email", "bo_1 [at] example [dot] net"), ("phone", "274-555-9629"), ("phone", "(274) 555-9629"), ("phone", "1 (541) 555-3219"),
+    ("phone", "0049 30 1234567"), ("ip", "2001:db8:85a3:0:0:8a2e:370:7334"), ("ip", "fe80::1ff:fe23:4567:890a"), ("card", "4111.1111.1111.1111"), ("card", "5555/5555/5555/4444"),
+]
+ALIKE = ["sat at home dot matrix", "a@b", "4111.1111.1111.1112", "4111 1111 1111 1112", "1.2.3.999", "12:30:45:10", "00:1a:2b:3c:4d:5e", "2024-01-02 10.30", "10 20 30 40 50", "3.14159265358", "100 200 300 400", "1234567890123", "version 4.0.1"]
+
+
+def test_looser_forms_are_added_and_look_alikes_are_not(spark):
+    docs = spark.createDataFrame(rows(5, 600), "doc_id long, text string")
+    model = pii.train(docs)
+    for context in ("word {} word word", "please write to {} soon", "{}"):
+        for kind, own in PLANTED:
+            text = context.format(own)
+            assert pii.base_spans(text) == []
+            at = text.index(own)
+            assert pii.added_spans([text], [[]], model)[0] == [(kind, at, at + len(own))], text
+        for own in ALIKE:
+            text = context.format(own)
+            assert pii.added_spans([text], [pii.base_spans(text)], model)[0] == [], text
+    text = f"word {PLANTED[0][1]} word"
+    assert pii.redacted(text, pii.added_spans([text], [[]], model)[0]) == "word [EMAIL] word"
