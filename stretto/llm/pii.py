@@ -5,15 +5,19 @@ propose further spans, overlapping ones too: looser separators, spelled-out addr
 score each candidate by its format and its context; they learn from candidates of a bounded sample of documents. The examples to
 find are base spans, as they stand and rewritten in place to the looser forms; the rest are candidates that touch no base span and
 fail a check of their kind, and rewritten spans spoiled so that they fail it. Candidates that pass the check teach nothing, as
-nobody has said what they are. A threshold per kind, read off held-out documents by isotonic calibration, decides which candidates
-are added.
+nobody has said what they are. Secrets (keys, tokens, passwords) are a kind without base spans: the trees learn them from made-up
+ones, and from look-alikes such as checksums, set into the sampled documents. A threshold per kind, read off held-out documents by
+isotonic calibration, decides which candidates are added.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import math
+import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: What only the method finds; its spans may lie over others.
+SECRET = "secret"
 # The base patterns.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -45,6 +51,12 @@ PROPOSED = [
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?[0-9(][0-9() ./-]{6,22}[0-9](?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")),
 ]
+KEY = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth[a-z]{0,10}|credentials?|bearer)"
+#: Proposed secrets: what a key word is given, what begins like an issued key, and any long mixed word.
+GIVEN = re.compile(rf"(?i)(?<![a-z]){KEY}(?![a-z])['\"]?\s{{0,3}}(?:=>|:=|[=:])?\s{{0,3}}['\"]?(?P<own>[^\s'\"<>,;]{{8,512}})")
+ISSUED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,255}|[sr]k_(?:live|test)_[0-9A-Za-z]{10,255}|sk-[0-9A-Za-z_-]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|eyJ[\w-]{8,1024}\.[\w-]{8,1024}\.[\w-]{8,1024}|AIza[\w-]{30,60})")
+MIXED = re.compile(r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{20,256}={0,2}(?![0-9A-Za-z+/_=-])")
+ASSIGNED = re.compile(rf"(?i)(?<![a-z]){KEY}['\"]?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}['\"]?$")
 DIGIT = re.compile("[0-9]")
 CUES = re.compile(r"(?i)mail|e-mail|contact|tel|phone|fon|call|fax|card|visa|account|ip\b|host|server|address|token|password|key|version|isbn|license")
 CALLS = re.compile(r"(?i)\b(?:tel|phone|telephone|telefon|fon|call|fax|mobile|mobil|cell)\b")
@@ -52,8 +64,10 @@ CALLS = re.compile(r"(?i)\b(?:tel|phone|telephone|telefon|fon|call|fax|mobile|mo
 ENDINGS = set("com org net edu gov mil int info biz io ai app dev co me tv eu de fr uk us ca au at ch nl be es it pt pl se no fi dk cz ru jp cn in br mx kr ie nz za".split())
 DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}(?![0-9]).*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}(?![0-9]).*")
 CALLED = re.compile(r"(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9() ./-]+|\(?0[1-9][0-9]{1,4}\)?[ ./-][0-9 -]+|[1-9][0-9]{0,2}[ .-]?\([0-9]{2,5}\)[ .-]?[0-9 .-]+")
-#: Documents whose candidates are learned from, at most (those of smallest hashed ids).
-TRAIN_DOCS = 20_000
+#: Documents whose candidates are learned from, at most (those of smallest hashed ids), and distinct candidates of theirs.
+TRAIN_DOCS, TRAIN_ROWS = 20_000, 40_000
+#: One in so many of them gets made-up secrets set into it.
+SET_IN = 4
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
 #: Share of true ones that candidates at the threshold must have in calibration.
 PRECISION = 0.9
@@ -81,6 +95,11 @@ def holds(kind: str, text: str) -> bool:
 
 def plausible(kind: str, text: str, before: str = "") -> bool:
     """Whether a candidate of a looser form may be of its kind; stricter than what proposes it. before: the text before it."""
+    if kind == SECRET:
+        if ISSUED.fullmatch(text):
+            return True
+        mixed = len(set(text)) >= 8 and any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+        return mixed and entropy(text) >= 2.8 and ASSIGNED.search(before) is not None
     if kind == "email":
         bare = re.sub(r" ?(?:@|[(\[]at[)\]]) ?| at ", "@", text)
         local, _, domain = re.sub(r" ?[(\[]dot[)\]] ?| dot ", ".", bare).partition("@")
@@ -104,6 +123,27 @@ def plausible(kind: str, text: str, before: str = "") -> bool:
     return CALLED.fullmatch(text) is not None or CALLS.search(before) is not None
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def made_up(rng: random.Random) -> list[tuple[str, str, str, int]]:
+    """(text before, own, text after, whether it is one) of secrets and of what looks like them."""
+    hexed = lambda n: f"{rng.getrandbits(4 * n):0{n}x}"
+    word = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    name = rng.choice(["token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "apikey", "client_secret", "Password"])
+    mark, quote = rng.choice([" = ", "=", ": ", ":"]), rng.choice(['"', "'", ""])
+    plain = rng.choice(["changeable", "required_field", "documentation", "authentication", "https://example.org/login", "www.example.com/reset"])
+    return [
+        (name + mark + quote, rng.choice([hexed(32), hexed(40), hexed(64), word(rng.randrange(16, 60)), word(20) + "-" + word(9)]), quote, 1),
+        (rng.choice(["", "key ", "use "]), rng.choice(["AKIA" + word(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + word(36), "sk_live_" + word(24), "xoxb-" + word(12, "0123456789") + "-" + word(24)]), "", 1),
+        (name + mark + quote, plain, quote, 0),
+        (rng.choice(["sha1 ", "commit ", "checksum: ", "md5sum ", "id ", ""]), rng.choice([hexed(32), hexed(40), hexed(64)]), "", 0),
+        (rng.choice(["", "see ", "/"]), rng.choice(["-".join(word(6, "abcdefghij") for _ in range(4)), "_" * 30, "-" * 40, "usr/lib/python3/site-packages/" + word(5, "abcde"), word(30, "0123456789")]), "", 0),
+    ]
+
+
 def rewritten(kind: str, text: str) -> list[tuple[str, int]]:
     """Looser forms of a base span (1), and some spoiled so that they are none (0)."""
     if kind == "email":
@@ -145,13 +185,30 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def quartets(text: str) -> Iterator[tuple[int, int]]:
+    """What BASE["ip"] finds, in time that grows with the text alone: each four parts of a row of numbers parted by dots."""
+    for m in DOTTED.finditer(text):
+        if m.group().count(".") >= 3:
+            parts = m.group().split(".")
+            at = m.start()
+            for k in range(0, len(parts) - 3, 4):
+                end = at + sum(map(len, parts[k : k + 4])) + 3
+                yield at, end
+                at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start, in code points."""
     out = []
     digits = DIGIT.search(text) is not None
     out += [("email", i, j) for i, j in emails(text)]
     for kind in KINDS[1:] if digits else ():
-        if (kind != "phone" or "+" in text) and (kind != "ip" or "." in text):
+        if kind == "ip":
+            out += [(kind, i, j) for i, j in quartets(text) if holds(kind, text[i:j])] if "." in text else []
+        elif kind != "phone" or "+" in text:
             out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m.group())]
     return out
 
@@ -165,10 +222,16 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if (has_at or lower_at) if kind == "email" else digits:
             for m in pattern.finditer(text):
                 found[kind, m.start(), m.end()] = None
+    for m in GIVEN.finditer(text):
+        found[SECRET, m.start("own"), m.end("own")] = None
+    for pattern in (ISSUED, MIXED) if digits else ():
+        for m in pattern.finditer(text):
+            if DIGIT.search(m.group()):
+                found[SECRET, m.start(), m.end()] = None
     return list(found)
 
 
-FEATURES = 27
+FEATURES = 30
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -180,11 +243,11 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     seps = [c for c in own if not c.isalnum()]
     cue = CUES.findall(before)
     return [
-        KINDS.index(kind), len(own), len(digits), letters, len(seps), len(set(seps)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        (*KINDS, SECRET).index(kind), len(own), len(digits), letters, len(seps), len(set(seps)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         max((int(g) for g in groups if len(g) < 10), default=0), own.count("."), own.count("-"), own.count(" "), own.count("@"), own.count(":"), own.count("("), own.startswith("+"),
         len(own.rsplit(".", 1)[-1]) if "." in own else 0, int(digits[0]) if digits else -1, len(set(digits)), luhn("".join(digits)) if 12 <= len(digits) <= 20 else 0,
         ord(before[-1]) if before else 0, ord(after[0]) if after else 0, len(cue), sum(c.isdigit() for c in before[-15:] + after[:15]), before[-1:].isalnum() or after[:1].isalnum(),
-        plausible(kind, own, before),
+        plausible(kind, own, before), entropy(own), ASSIGNED.search(before) is not None, sum(c.isupper() for c in own),
     ]
 
 
@@ -262,7 +325,7 @@ class Model:
             return cls()
         model = cls(Trees.fitted(x[~held], y[~held]))
         z = model.trees.margin(x)
-        for k, kind in enumerate(KINDS):
+        for k, kind in enumerate((*KINDS, SECRET)):
             own = np.flatnonzero(held & (x[:, 0] == k))
             own = own[np.argsort(z[own], kind="stable")]
             good = np.flatnonzero(isotonic(y[own].astype(float)) >= PRECISION)
@@ -280,6 +343,9 @@ def learnable(text: str) -> Iterator[tuple[list[float], int]]:
     for kind, i, j in candidates(text):
         if (kind, i, j) in exact:
             yield describe(text, kind, i, j), 1
+        elif kind == SECRET:
+            if not plausible(kind, text[i:j], text[max(0, i - 40) : i]):
+                yield describe(text, kind, i, j), 0
         elif not any(i < e and s < j for _, s, e in base):
             good = plausible(kind, text[i:j], text[max(0, i - 40) : i])
             if not good or kind == "ip":
@@ -290,10 +356,20 @@ def learnable(text: str) -> Iterator[tuple[list[float], int]]:
             own = before + form + after
             if (kind, len(before), len(before) + len(form)) in candidates(own):
                 yield describe(own, kind, len(before), len(before) + len(form)), y or int(plausible(kind, form, before[-40:]))
-
-
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Learns from the candidates of at most most documents; a lone constant without examples of both sorts."""
+    seed = zlib.crc32(text.encode())
+    if text and seed % SET_IN == 0:
+        rng = random.Random(seed)
+        at = rng.randrange(len(text))
+        for before, own, after, y in made_up(rng):
+            before, after = f"{text[max(0, at - 80) : at]} {before}", f"{after} {text[at : at + 80]}"
+            whole = before + own + after
+            if (SECRET, len(before), len(before) + len(own)) in candidates(whole):
+                yield describe(whole, SECRET, len(before), len(before) + len(own)), y
+
+
+def train(docs: DataFrame, most: int = TRAIN_DOCS, most_rows: int = TRAIN_ROWS) -> Model:
+    """Learns from at most most_rows distinct candidates (by their text's hash) of at most most documents; a lone constant without
+    examples of both sorts."""
     spark = docs.sparkSession
     common.small_batches(spark)
     table = common.text_table(docs)
@@ -305,20 +381,20 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], names=["text", "x", "y"])
 
     # bounded: one row for each distinct candidate of a bounded number of documents
-    got = sorted(map(tuple, table.join(F.broadcast(wanted), "doc_id").select("text").mapInArrow(run, "text long, x binary, y int").distinct().orderBy("text", "x", "y").limit(2 * most).collect()))
+    got = sorted(map(tuple, table.join(F.broadcast(wanted), "doc_id").select("text").mapInArrow(run, "text long, x binary, y int").distinct().orderBy("text", "x", "y").limit(most_rows).collect()))
     x = np.array([np.frombuffer(r[1], "<f4") for r in got], np.float64).reshape(len(got), FEATURES)
     y = np.array([r[2] for r in got], np.int64)
     return Model.learned(x, y, np.array([r[0] % 10 < 3 for r in got], bool))
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: Model) -> list[list[tuple[str, int, int]]]:
-    """The candidates that the model accepts and that touch no base span nor a likelier accepted one."""
+    """The candidates that the model accepts and that touch no base span nor a likelier accepted one; secrets only each other."""
     found: list[tuple[int, str, int, int]] = []
     x: list[list[float]] = []
     if model.trees is not None:
         for k, (t, base) in enumerate(zip(texts, bases)):
             for kind, i, j in candidates(t):
-                if kind in model.thresholds and not any(i < e and s < j for _, s, e in base):
+                if kind in model.thresholds and (kind == SECRET or not any(i < e and s < j for _, s, e in base)):
                     found.append((k, kind, i, j))
                     x.append(describe(t, kind, i, j))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -326,7 +402,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
         z = model.trees.margin(np.array(x, np.float32).astype(np.float64))
         for c in np.lexsort((np.arange(len(z)), -z)).tolist():
             k, kind, i, j = found[c]
-            if z[c] >= model.thresholds[kind] and not any(i < e and s < j for _, s, e in out[k]):
+            if z[c] >= model.thresholds[kind] and not any(i < e and s < j for o, s, e in out[k] if (o == SECRET) == (kind == SECRET)):
                 out[k].append((kind, i, j))
     return out
 
@@ -346,14 +422,15 @@ SPANS_SQL = "array<struct<kind:string,start:long,end:long>>"
 
 
 def find(docs: DataFrame, model: Model, keep: list[str] = (), redact: bool = False) -> DataFrame:
-    """doc_id, base and spans (by kind, then start; code points), the columns keep and, if asked for, redacted, for every row.
+    """doc_id, base and spans (by kind, then start; code points), secrets (by start), the columns keep and, if asked for, redacted,
+    for every row.
 
-    Null texts are empty and have no spans (their redacted text stays null). Rows repeat as given; an empty table gives an empty
+    A column of keep that has the name of another of these comes back as own_ and its name. Null texts are empty and have no spans (their redacted text stays null). Rows repeat as given; an empty table gives an empty
     result. A map over the input with a model of fixed size.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    carried = list(keep)
+    carried = common.own_names(keep, ("doc_id", "text", "base", "spans", "secrets", "redacted"))
     types = dict(docs.dtypes)
     order = {k: n for n, k in enumerate(KINDS)}
 
@@ -368,14 +445,16 @@ def find(docs: DataFrame, model: Model, keep: list[str] = (), redact: bool = Fal
             given = b.column("text").to_pylist()
             texts = [t or "" for t in given]
             base = [base_spans(t) for t in texts]
-            every = [sorted([*s, *a], key=lambda x: (order[x[0]], x[1])) for s, a in zip(base, added_spans(texts, base, model))]
-            out = {"doc_id": b.column("doc_id"), "base": structs(base), "spans": structs(every)} | {c: b.column(c) for c in carried}
+            added = added_spans(texts, base, model)
+            every = [sorted([*s, *(x for x in a if x[0] != SECRET)], key=lambda x: (order[x[0]], x[1])) for s, a in zip(base, added)]
+            secrets = [sorted(x for x in a if x[0] == SECRET) for a in added]
+            out = {"doc_id": b.column("doc_id"), "base": structs(base), "spans": structs(every), "secrets": structs(secrets)} | {c: b.column(c) for c in carried.values()}
             if redact:
-                out["redacted"] = pa.array([redacted(t, s) if s else t for t, s in zip(given, every)], pa.string())
+                out["redacted"] = pa.array([redacted(t, [*s, *x]) if s or x else t for t, s, x in zip(given, every, secrets)], pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    schema = ", ".join([f"doc_id {types['doc_id']}", f"base {SPANS_SQL}", f"spans {SPANS_SQL}", *[f"{c} {types[c]}" for c in carried], *["redacted string"] * redact])
-    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {types['doc_id']}", f"base {SPANS_SQL}", f"spans {SPANS_SQL}", f"secrets {SPANS_SQL}", *[f"{n} {types[c]}" for c, n in carried.items()], *["redacted string"] * redact])
+    return docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in carried.items()]).mapInArrow(run, schema)
 
 
 def redacted_documents(docs: DataFrame, model: Model) -> DataFrame:
