@@ -66,7 +66,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    secrets = [F.size("secrets").cast("long").alias("n_secret"), joined("secrets").alias("secrets"), (F.size("spans") + F.size("secrets")).cast("long").alias("n_found")]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,10 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Vectors that are there and hold finite numbers only, quantised or at length 1.
 _TOPK = """
-with v as (select distinct vec_id, list_transform(embedding::double[], lambda x: floor(1024 * x)::bigint) as w from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding::double[], lambda x: floor(1024 * x)::bigint) as w from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(generate_series(1, len(v.w)), lambda i: q.w[i] * v.w[i]))::bigint as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0)
-select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 10"""
+s as (select q.r as q, q.vec_id as query_id, v.vec_id, list_sum(list_transform(generate_series(1, len(v.w)), lambda i: q.w[i] * v.w[i]))::bigint as score from v q join v on v.r <> q.r where q.vec_id % 100 = 0)
+select query_id, (row_number() over (partition by q order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 10"""
 
 _COPIES = """
 with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e,
