@@ -53,9 +53,12 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
 
     A null text has size 0 and takes no part beyond its row; a null source is a source; repeated rows draw the same key and stay
     separate rows. Documents enter whole, so a source misses its target by half of one document at most. Reruns agree, since the
-    keys are hashes. An empty table gives an empty result. Columns of docs that are not in keep are dropped.
+    keys are hashes. An empty table gives an empty result. Columns of docs that are not in keep are dropped; one of them that has
+    a name of the result's comes back as own_ and its name.
     """
-    table = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
+    names = common.own_names(keep, ("doc_id", "source", "text", "size", "source_size", "target", "copies", "taken"))
+    inner = {c: f"kept_{k}" for k, c in enumerate(names)}
+    table = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in inner.items()])
     size = F.regexp_count(F.col("text"), F.lit(WORDS)).cast("long")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     sized = table.withColumn("size", size).withColumn("weight", text_quality(F.col("text"), F.col("size"))).drop("text")
@@ -89,7 +92,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     rest = joined.where("slice <> last_slice or last_slice is null").withColumn("more", F.coalesce(F.col("slice") < F.col("last_slice"), F.lit(False)))
     return rest.unionByName(edge).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("more").cast("long")).alias("copies"),
-        ((F.col("epochs") + F.col("more").cast("long")) * F.col("size")).alias("taken"), *keep,
+        ((F.col("epochs") + F.col("more").cast("long")) * F.col("size")).alias("taken"), *[F.col(n).alias(names[c]) for c, n in inner.items()],
     )
 
 
