@@ -24,8 +24,29 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's tables of words and of pieces seen; memory, not results, depends on it.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
+#: Bytes, about, of a worker's table of words seen, and entries of a generation of its tables of pieces and of neighbours; memory,
+#: not results, depends on them.
+WORD_BYTES, PIECES, NEIGHBOURS = 64 << 20, 150_000, 200_000
+#: What a word costs in the table besides its own bytes and ids: its entry, its object, its number.
+ENTRY_BYTES = 160
+
+
+class Recent:
+    """A table in two generations: a full young one becomes the old one, whose entries come back as they are asked for."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def age(self) -> None:
+        """Between batches, so that what a batch has looked up is still there at its end."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
 
 
 class PrefixEncoder:
@@ -53,7 +74,7 @@ class PrefixEncoder:
             if i not in self.odd:
                 self.ending.add_word(t.decode("latin-1"), i)
         self.ending.make_automaton()
-        self._fits: dict[int, bool] = {}
+        self._fits = Recent(NEIGHBOURS)
 
     @classmethod
     @functools.lru_cache(maxsize=4)  # noqa: B019
@@ -73,11 +94,17 @@ class PrefixEncoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes is a, b: no merge across their border comes before those that make them."""
-        if len(self._fits) > 1_500_000:
-            self._fits.clear()
-        known = self._fits[a << 24 | b] = self._stands(a, b)
+        known = self._fits.get(a << 24 | b)
+        if known is None:
+            known = self._fits.young[a << 24 | b] = self._stands(a, b)
         return known
 
+    def age(self) -> None:
+        self._fits.age()
+
+    def forget(self) -> None:
+        self._fits = Recent(NEIGHBOURS)
+
     def _stands(self, a: int, b: int) -> bool:
         """Undo the later of the two tokens' merges again and again, on the side of the border; a pair that then touches the
         border and merges by an earlier rank than the one undone last would have been merged."""
@@ -103,7 +130,7 @@ class PrefixEncoder:
         """The last token of each prefix; before: those of a prefix already known, whose bytes have not changed."""
         done = len(before or ())
         last = [*(before or ()), *[-1] * (len(piece) - done)]
-        known, size = self._fits.get, self.size
+        known, size = self._fits.young.get, self.size
         longest = max(0, done - self.longest)
         for end, t in self.ending.iter(piece[longest:].decode("latin-1")) if longest else self.ending.iter(piece.decode("latin-1")):
             end += longest
@@ -148,6 +175,8 @@ class PrefixEncoder:
 #: for an engine whose \\s is ASCII; a NUL, which marks the cuts, counts as well.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PLAIN = f"\\A [^\\x00{SPACE[1:]}(?:[^\\x00]*[^\\x00{SPACE[1:]})?\\z"  # one space, then white space at neither end
+#: What may stand on both sides of a cut; a pattern is taken if it parts all of these.
+BEFORE_SPACE, AFTER_SPACE = ("a", "1", "!", "é", "漢", "a's", "½"), (" a", " 1", " !", " é", " 漢", " 's", " ½")
 RUN = f"{SPACE}{SPACE}|\\A{SPACE}|{SPACE}\\z|\\x00"
 
 
@@ -167,19 +196,35 @@ def by_word(words: list[str], pieces: list[str], ids: list[bytes]) -> tuple[np.n
 class Words:
     """Encodes texts by their words: a text is cut at single spaces, where pieces always end, and each word encoded once.
 
-    Words seen stay in a table of bounded size, which starts anew when full. Texts with runs of white space are cut by the
-    whole pattern. encode: gives (all ids, their number for each word) of a list of words not seen yet, and is told
-    if all of them are plain: one space, then no white space at their beginning and end.
+    Words seen stay in a table of size bytes, about. When it is full, those met in the most batches stay, up to half of it. Texts
+    with runs of white space are cut by the whole pattern. encode: gives (all ids, their number for each word) of a list of words
+    not seen yet, and is told if all of them are plain: one space, then no white space at their beginning and end.
     """
 
-    def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], pattern: str, size: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], pattern: str, size: int = WORD_BYTES):
         self.encode, self.size = encode, size
         self.pattern = regex.compile(pattern)
+        if any(self.pattern.findall(a + b) != self.pattern.findall(a) + self.pattern.findall(b) for a in BEFORE_SPACE for b in AFTER_SPACE):
+            raise ValueError("the pattern joins what single spaces part")
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.pool, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.met, self.bytes = np.zeros(1 << 14, np.int32), 0
+
+    def make_room(self) -> None:
+        names, met = list(self.seen), self.met[: len(self.seen)]
+        n = np.diff(self.begin[: len(names) + 1])
+        cost = np.fromiter(map(len, names), np.int64, len(names)) + 4 * n + ENTRY_BYTES
+        often = np.argsort(-met, kind="stable")
+        often = often[(met[often] > 1) & (np.cumsum(cost[often]) <= self.size // 2)]
+        old_pool, old_begin = self.pool, self.begin
+        self.forget()
+        own = n[often]
+        where = np.arange(own.sum()) + np.repeat(old_begin[often] - (np.cumsum(own) - own), own)
+        self.put([names[k] for k in often.tolist()], old_pool[where], own)
+        self.met[: len(often)] = met[often] // 2
 
     def cut(self, texts: pa.Array) -> pa.ListArray:
         """The words of each text; all but the first keep the space before them."""
@@ -193,22 +238,23 @@ class Words:
         place[np.concatenate([np.flatnonzero(~run), np.flatnonzero(run)])] = np.arange(len(texts))
         return pa.concat_arrays([plain, whole]).take(pa.array(place))
 
-    def add(self, new: list[str], plain: bool) -> None:
-        ids, sizes = self.encode(new, plain)
+    def put(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.seen)
         while len(self.begin) < n + len(new) + 1:
             self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
+            self.met = np.concatenate([self.met, np.zeros(len(self.met), np.int32)])
         while len(self.pool) < self.used + len(ids):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         self.begin[n + 1 : n + len(new) + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
+        self.bytes += sum(map(len, new)) + 4 * len(ids) + ENTRY_BYTES * len(new)
         self.seen.update(zip(new, range(n, n + len(new))))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
-        if len(self.seen) > self.size:
-            self.forget()
+        if self.bytes > self.size:
+            self.make_room()
         lists = self.cut(texts)
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offset
         coded = lists.flatten().dictionary_encode()
@@ -219,7 +265,9 @@ class Words:
         for own, are_plain in ((new[plain], True), (new[~plain], False)):
             if len(own):
                 place[own] = np.arange(len(seen), len(seen) + len(own))
-                self.add([distinct[k] for k in own.tolist()], are_plain)
+                words = [distinct[k] for k in own.tolist()]
+                self.put(words, *self.encode(words, are_plain))
+        self.met[place] += 1
         numbers = place[coded.indices.to_numpy()] if len(distinct) else place
         n = self.begin[numbers + 1] - self.begin[numbers]
         upto = np.concatenate([[0], np.cumsum(n)])
@@ -227,21 +275,20 @@ class Words:
         return self.pool[where], upto[ends - ends[0]]
 
 
-@functools.lru_cache(maxsize=1)
 def encoder_words(path: str, pattern: str) -> Words:
-    """Words encoded by PrefixEncoder. A worker's next task goes on with the table."""
+    """Words encoded by PrefixEncoder."""
     encoder = PrefixEncoder.of_file(path)
     split = regex.compile(pattern).findall
-    known: dict[str, bytes] = {}
+    known = Recent(PIECES)
 
     def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > CACHE_PIECES:
-            known.clear()
+        known.age()
+        encoder.age()
         pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
         for p in dict.fromkeys(pieces):
-            if p not in known:
-                known[p] = packed(encoder.piece(p.encode()))
-        return by_word(words, pieces, list(map(known.__getitem__, pieces)))
+            if known.get(p) is None:
+                known.young[p] = packed(encoder.piece(p.encode()))
+        return by_word(words, pieces, list(map(known.young.__getitem__, pieces)))
 
     return Words(encode, pattern)
 
@@ -271,6 +318,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_decoded: boo
                 [b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded if keep_decoded else [None] * len(b), pa.binary())],
                 schema=TOKENS,
             )
+        del words
+        PrefixEncoder.of_file(path).forget()
+        common.give_back()
 
     table = common.text_table(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return table.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -13,8 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; whole texts travel in batches, so their number bounds a worker's memory.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch; whole texts travel in batches, so these bound a worker's memory (a text beyond is a batch).
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch in this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of an Arrow batch in this session; settings that are smaller stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, most)
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the machine, at the end of a task that has held much."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +69,11 @@ def text_table(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def own_names(keep: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """Names under which columns to keep come back: own_ before one that an operator gives to a column of its own."""
+    return {c: f"own_{c}" if c in taken else c for c in keep}
+
+
 def block_of(column: Column, n: int) -> Column:
     """A row's block by hash; a null key has a block as well."""
     return F.pmod(F.xxhash64(column, F.lit(17)), F.lit(n)).cast("int")

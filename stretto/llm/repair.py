@@ -5,43 +5,51 @@ nonterminals, everywhere that they don't overlap, and the next round counts agai
 nonterminal stands for are stored with it, and where each document begins, so a document, or any range of its ids, is decoded
 without the rest. Pairs do not cross documents.
 
-Layout of a shard, little-endian: magic, five uint64 (rules, documents, symbols, ids, first nonterminal); rules (2 x uint32
-each); rules' lengths (uint32); documents' ids (int64), first symbols and first ids (uint64 each, with an end); then the symbols
-as three planes of bytes (low, middle, high).
+Layout of a shard, little-endian: magic, six uint64 (rules, documents, those of them with a doc_id, which come first, symbols,
+ids, first nonterminal); rules (2 x uint32 each); rules' lengths (uint32); documents' ids (int64), first symbols and first ids
+(uint64 each, with an end); then the symbols as three planes of bytes (low, middle, high).
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import bpe, common
 
-MAGIC = b"SRPG0001"
-SHARDS = "first long, number long, n_docs long, n_ids long, shard binary"
-#: Ids of a shard, about; pairs that one round replaces, the least count of a pair, and rounds.
-SHARD_IDS, ROUND_RULES, LEAST_COUNT, ROUNDS = 1_200_000, 8192, 4, 4
+MAGIC = b"SRPG0002"
+SHARDS = "part int, number long, n_docs long, n_ids long, shard binary"
+#: Ids of a shard, about, and pairs that one round replaces at most: the next round goes on.
+SHARD_IDS, ROUND_RULES = 1_200_000, 8192
+#: A rule takes 12 bytes and each use of it saves a symbol's three, so rarer pairs do not pay.
+LEAST_COUNT = 4
+#: Bytes of a worker's table of words and pieces of a generation; larger than elsewhere, as nothing else is held beside it.
+WORD_BYTES, PIECES = 128 << 20, 300_000
+#: Parts whose sums of ids are added up in one task.
+PARTS = 4096
 END = 0
 
 
-def grammar(seq: np.ndarray, breaks: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, where each break is now, rules). breaks: positions at which a document begins; no pair reaches over one."""
+def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, where each break is now, rules). breaks: positions at which a document begins; no pair reaches over one.
+
+    Rounds follow one another until no pair occurs LEAST_COUNT times, or symbols would take more than three bytes.
+    """
     seq = seq.astype(np.int64)
     whole = np.ones(len(seq), bool)  # whether a symbol may pair with the one before it
     whole[breaks[breaks < len(seq)]] = False
     rules: list[np.ndarray] = []
     made = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1] << 24) | seq[1:]
         ok = whole[1:]
         k = np.sort(key[ok])
@@ -53,7 +61,8 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int, rounds: int = ROUNDS
         if len(often) > ROUND_RULES:
             often = often[np.argsort(-count[often], kind="stable")[:ROUND_RULES]]
         chosen = np.sort(k[edge[often]])
-        if not len(chosen) or made + len(chosen) >= 1 << 24:
+        chosen = chosen[: (1 << 24) - made]
+        if not len(chosen):
             break
         # one slot for each hash: of pairs that share one, one waits for the next round
         bits = np.uint64(49)
@@ -92,10 +101,11 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def shard(doc_ids: list[int | None], ids: np.ndarray, off: np.ndarray, base: int) -> bytes:
-    """The bytes of one shard. Every document has an id at least: its end."""
+    """The bytes of one shard. Every document has an id at least: its end. Documents without a doc_id come last."""
     symbols, starts, rules = grammar(ids, off[:-1], base)
-    head = np.array([len(rules), len(doc_ids), len(symbols), len(ids), base], "<u8").tobytes()
-    documents = np.array([np.iinfo(np.int64).max if i is None else i for i in doc_ids], "<i8").tobytes()
+    named = [i for i in doc_ids if i is not None]
+    head = np.array([len(rules), len(doc_ids), len(named), len(symbols), len(ids), base], "<u8").tobytes()
+    documents = np.array([*named, *[0] * (len(doc_ids) - len(named))], "<i8").tobytes()
     planes = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
     return b"".join([MAGIC, head, rules.astype("<u4").tobytes(), lengths(rules, base).astype("<u4").tobytes(), documents, np.r_[starts, len(symbols)].astype("<u8").tobytes(), off.astype("<u8").tobytes(), planes])
 
@@ -106,8 +116,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        rules, docs, symbols, self.n_ids, self.base = np.frombuffer(data, "<u8", 5, 8).astype(int).tolist()
-        at = 48
+        rules, docs, self.named, symbols, self.n_ids, self.base = np.frombuffer(data, "<u8", 6, 8).astype(int).tolist()
+        at = 56
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -161,12 +171,8 @@ class Shard:
         return self.expand(s[a:b])[i - upto[a] : i - upto[a] + max(0, min(j, upto[-1]) - i)]
 
 
-@functools.lru_cache(maxsize=1)
 def library_words(path: str, pattern: str) -> bpe.Words:
-    """Words encoded by the tokenizers library's model; a piece is spelled in its alphabet of visible characters for bytes.
-
-    A worker's next task goes on with the table.
-    """
+    """Words encoded by the tokenizers library's model; a piece is spelled in its alphabet of visible characters for bytes."""
     model = Tokenizer.from_file(path).model
     shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
     others = iter(range(256, 512))
@@ -174,43 +180,67 @@ def library_words(path: str, pattern: str) -> bpe.Words:
     alphabet = str.maketrans({chr(b): c for b, c in spelled.items()})
     but_nul = {k: v for k, v in alphabet.items() if k}
     split, tokenize = regex.compile(pattern).findall, model.tokenize
-    known: dict[str, bytes] = {}
+    known = bpe.Recent(PIECES)
 
     def pieces_of(words: list[str], plain: bool) -> list[str]:
         """The words' pieces, known from now on. Plain words, in a row, fall into the same pieces as apart."""
         pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
+        fresh = [p for p in dict.fromkeys(pieces) if known.get(p) is None]
         if plain:  # no NUL among them
             names = "\0".join(fresh).encode().decode("latin-1").translate(but_nul).split("\0")
         else:
             names = [p.encode().decode("latin-1").translate(alphabet) for p in fresh]
         for p, name in zip(fresh, names):
-            known[p] = bpe.packed([t.id for t in tokenize(name)])
+            known.young[p] = bpe.packed([t.id for t in tokenize(name)])
         return pieces
 
     def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > bpe.CACHE_PIECES:
-            known.clear()
+        known.age()
         pieces = pieces_of(words, plain)
-        return bpe.by_word(words, pieces, list(map(known.__getitem__, pieces)))
+        return bpe.by_word(words, pieces, list(map(known.young.__getitem__, pieces)))
+
+    return bpe.Words(encode, pattern, WORD_BYTES)
 
-    return bpe.Words(encode, pattern)
+
+class Library:
+    """Encodes batches of texts as the library does. Texts that hold one of its added tokens go through it whole."""
+
+    def __init__(self, path: str, pattern: str):
+        self.whole = Tokenizer.from_file(path)
+        self.words = library_words(path, pattern)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        if not special.any():
+            return self.words.batch(texts)
+        ids, off = self.words.batch(pc.if_else(pa.array(special), "", texts))
+        n = np.diff(off)
+        found = [self.whole.encode(t, add_special_tokens=False).ids for t in texts.filter(pa.array(special)).to_pylist()]
+        n[special] = list(map(len, found))
+        out = np.empty(int(n.sum()), np.uint32)
+        own = np.repeat(special, n)
+        out[own], out[~own] = np.array([i for f in found for i in f], np.uint32), ids
+        return out, np.concatenate([[0], np.cumsum(n)])
 
 
 def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     """Encodes every whole text, ends each document with id 0, and writes shards of ascending doc_id as Parquet rows to target.
 
-    Ranges of doc_id are sorted apart from each other, so documents of one id stay together; a null doc_id comes last. Null
-    texts are empty: the end alone. first (a range's and a shard's order) and n_ids are columns of their own, so where a shard
-    begins in the whole is found without its bytes.
+    Ranges of doc_id are sorted apart from each other, so documents of one id stay together, by text; a null doc_id comes last.
+    Null texts are empty: the end alone. Repeated rows are documents of their own; an empty table writes no shard. part and number
+    (a shard's place) and n_ids are columns of their own, so where a shard begins in the whole is found without its bytes.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     base = Tokenizer.from_file(path).get_vocab_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = library_words(path, pattern)
-        number = 0
+        words = Library(path, pattern)
+        part, number = TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
@@ -220,7 +250,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
             off = np.concatenate([[0], np.cumsum(np.concatenate([n for _, _, n in held]))])
             data = shard(doc_ids, ids, off, base)
             number, held = number + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([doc_ids[0]], pa.int64()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["first", "number", "n_docs", "n_ids", "shard"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "number", "n_docs", "n_ids", "shard"])
 
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
@@ -240,6 +270,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
                     yield close()
         if held:
             yield close()
+        del words
+        common.give_back()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.blocks(docs, 16 << 20))
     table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -249,30 +281,36 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and (or null) the ids of each document, decoded from what write_shards wrote."""
+    """part, number (the shard), doc_id, inner (ids before it in the shard), n_tokens, ids_crc32 and (or null) the ids of each
+    document, decoded from what write_shards wrote. No shards give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, number, data in zip(b.column("first").to_pylist(), b.column("number").to_pylist(), b.column("shard").to_pylist()):
+            for part, number, data in zip(b.column("part").to_pylist(), b.column("number").to_pylist(), b.column("shard").to_pylist()):
                 s = Shard(data)
                 ids = s.expand(s.symbols).astype("<u4")
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
                 k = len(crc)
-                docs = pa.array(s.docs, pa.int64(), mask=s.docs == np.iinfo(np.int64).max)
+                docs = pa.array(s.docs, pa.int64(), mask=np.arange(k) >= s.named)
                 lists = pa.ListArray.from_arrays(pa.array(s.offsets, pa.int32()), pa.array(ids.view(np.int32))) if with_ids else pa.nulls(k, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first] * k, pa.int64()), pa.array([number] * k, pa.int64()), docs, pa.array(s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64()), lists],
-                    names=["first", "number", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"],
+                    [pa.array([part] * k, pa.int32()), pa.array([number] * k, pa.int64()), docs, pa.array(s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(crc, pa.int64()), lists],
+                    names=["part", "number", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    common.small_batches(shards.sparkSession, 16)
-    return shards.select("first", "number", "shard").mapInArrow(run, "first long, number long, doc_id long, inner long, n_tokens long, ids_crc32 long, ids array<int>")
+    common.small_batches(shards.sparkSession)
+    return shards.select("part", "number", "shard").mapInArrow(run, "part int, number long, doc_id long, inner long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def positions(shards: DataFrame, decoded: DataFrame) -> DataFrame:
-    """decoded with start: the number of ids in all documents before. One row per shard is summed up, not one per document."""
-    order = Window.orderBy(F.col("first").asc_nulls_last(), "number")
-    begins = shards.select("first", "number", "n_ids").withColumn("begin", F.sum("n_ids").over(order) - F.col("n_ids"))
-    begins = begins.select(F.col("first").alias("f"), F.col("number").alias("m"), "begin")
-    joined = decoded.join(begins, F.col("first").eqNullSafe(F.col("f")) & (F.col("number") == F.col("m")))
-    return joined.withColumn("start", F.col("begin") + F.col("inner")).drop("f", "m", "begin", "first", "number", "inner")
+    """decoded with start: the number of ids in all documents before.
+
+    Sums go from shards to groups of PARTS parts, and from there, a row each, over all groups.
+    """
+    rows = shards.select("part", "number", "n_ids").withColumn("groups", F.floor(F.col("part") / PARTS).cast("int"))
+    within = F.sum("n_ids").over(Window.partitionBy("groups").orderBy("part", "number"))
+    groups = rows.groupBy("groups").agg(F.sum("n_ids").alias("n"))
+    groups = groups.select("groups", (F.sum("n").over(Window.orderBy("groups")) - F.col("n")).alias("before"))
+    begins = rows.withColumn("begin", within - F.col("n_ids")).join(groups, "groups")
+    begins = begins.select("part", "number", (F.col("begin") + F.col("before")).alias("begin"))
+    return decoded.join(begins, ["part", "number"]).withColumn("start", F.col("begin") + F.col("inner")).drop("begin", "part", "number", "inner")

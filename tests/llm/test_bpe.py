@@ -36,8 +36,17 @@ def test_words_agree_with_the_library(reference):
         ids, off = words.batch(pa.array(given))
         for k, t in enumerate(given):
             assert ids[off[k] : off[k + 1]].tolist() == reference.encode_ordinary(t), repr(t)
-    words.size = 0
-    assert words.batch(pa.array(["again"]))[0].tolist() == reference.encode_ordinary("again")
+    words.size = 2000  # room is made again and again, and what stays is still right
+    for k in range(0, len(given), 10):
+        ids, off = words.batch(pa.array(given[k : k + 10] + ["again and again", "once more"]))
+        assert ids.tolist() == [i for t in [*given[k : k + 10], "again and again", "once more"] for i in reference.encode_ordinary(t)]
+        assert words.bytes < 20000
+    assert " and" in words.seen
+
+
+def test_a_pattern_that_joins_over_spaces_is_refused():
+    with pytest.raises(ValueError):
+        bpe.Words(lambda words, plain: None, r"\w+ \w+|.")
 
 
 def test_pieces_and_edits_agree_with_plain_merges(encoder):
@@ -59,9 +68,8 @@ def test_library_words_agree_with_the_library():
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     given = list(texts()) + [" ".join("abcdefg"[i % 7] * (1 + i % 5) + ",.'s\nxé"[i % 7] + "q" for i in range(k)) for k in range(60)]
-    words = repair.library_words(path, P.PATTERN)
+    words = repair.Library(path, P.PATTERN)
     for _ in range(2):
         ids, off = words.batch(pa.array(given))
         for k, e in enumerate(t.encode_batch(given, add_special_tokens=False)):

@@ -27,18 +27,41 @@ def test_grammar_round_trip_and_random_access():
             assert len(s.symbols) < off[-1] / 2
 
 
+def counted(seq, breaks):
+    """How often each pair occurs without overlapping itself, within documents."""
+    out, last = {}, {}
+    for i in range(len(seq) - 1):
+        pair = (seq[i], seq[i + 1])
+        if i + 1 not in breaks and last.get(pair, -2) < i - 1:
+            out[pair], last[pair] = out.get(pair, 0) + 1, i
+    return out
+
+
+def test_no_pair_that_pays_is_left():
+    rng = np.random.default_rng(4)
+    for high, n in ((5, 3000), (400, 20000)):
+        seq = np.concatenate([rng.integers(0, high, n), np.tile(rng.integers(0, high, 700), 20), np.zeros(2000, int)])
+        breaks = np.array([0, 50, 51, n, n + 700 * 11])
+        symbols, starts, rules = repair.grammar(seq.astype(np.uint32), breaks, 500)
+        assert max(counted(symbols.tolist(), set(starts.tolist())).values()) < repair.LEAST_COUNT
+        # a passage that stands there twenty times becomes one symbol or few
+        assert repair.lengths(rules, 500).max() >= 350
+        off = np.concatenate([breaks, [len(seq)]])
+        s = repair.Shard(repair.shard(list(range(len(breaks))), seq.astype(np.uint32), off, 500))
+        assert np.array_equal(s.expand(s.symbols), seq)
+
+
 def test_shards_hold_what_the_library_encodes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(repair, "SHARD_IDS", 300)
     rng = random.Random(2)
     rows = [(i * 7 % 97, "".join(rng.choice(["the ", "Thing, ", "on\n", "é ", "don't  ", "日本🙂 "]) for _ in range(rng.randrange(60)))) for i in range(90)]
-    rows += [(200, None), (201, ""), (None, "last"), (5, "again the same id"), (300, "long " * 4000), (301, "\0 \x1c x　y  z"), (302, "<|endoftext|>")]
+    rows += [(200, None), (201, ""), (None, "last"), (5, "again the same id"), (300, "long " * 4000), (301, "\0 \x1c x　y  z"), (302, "<|endoftext|>"), (2**63 - 1, "a <|endoftext|> b<|endoftext|>"), (303, "<|endoftext|"), (-5, "below")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int")
     target = f"{common.shared_dir(spark)}/shards-test-{uuid.uuid4().hex}"
     repair.write_shards(docs, PATH, P.PATTERN, target)
     shards = spark.read.parquet(target)
     got = repair.positions(shards, repair.read_shards(shards)).orderBy("start").collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     at = 0
     assert [(r.doc_id is None, r.doc_id or 0) for r in got] == sorted((i is None, i or 0) for i, _ in rows)
     want = {}
