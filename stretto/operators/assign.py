@@ -9,18 +9,32 @@ from pyspark.sql import DataFrame
 
 
 def greedy(expected: list[float], detected: list[float]) -> list[float | None]:
-    """For each expected time in turn the nearest detected one left, the earlier of equally near ones; none when they are used up."""
-    rest = sorted(detected)
+    """For each expected time in turn the nearest detected one left, the earlier of equally near ones; none when they are used up.
+
+    Taken ones point to the next one on either side, and paths shorten as they are walked, so time grows little faster than the notes.
+    """
+    times = sorted(detected)
+    n = len(times)
+    up, down = list(range(n + 1)), list(range(n + 1))  # down[k + 1] belongs to times[k]; 0 and n: none left on that side
+
+    def walked(to: list[int], k: int) -> int:
+        end = k
+        while to[end] != end:
+            end = to[end]
+        while to[k] != end:
+            to[k], k = end, to[k]
+        return end
+
     out: list[float | None] = []
     for t in expected:
-        if not rest:
+        k = bisect.bisect_left(times, t)
+        right, left = walked(up, k), walked(down, k) - 1
+        if left < 0 and right == n:
             out.append(None)
             continue
-        k = bisect.bisect_left(rest, t)
-        best = k if k < len(rest) else k - 1
-        if k and abs(rest[k - 1] - t) <= abs(rest[best] - t):
-            best = bisect.bisect_left(rest, rest[k - 1])
-        out.append(rest.pop(best))
+        best = left if left >= 0 and (right == n or abs(times[left] - t) <= abs(times[right] - t)) else right
+        out.append(times[best])
+        up[best], down[best + 1] = best + 1, best
     return out
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a bucket: windows are mostly shorter, so most are in one or two.
-WIDTH = 2.0
+#: Seconds of a bucket: windows are mostly shorter, so most are in one or two. Seconds of a span, which one task sorts.
+WIDTH, SPAN = 2.0, 64.0
 
 
 def join_times(windows: DataFrame, times: DataFrame, key: str, start: str, end: str, time: str, how: str = "left", width: float = WIDTH) -> DataFrame:
@@ -24,19 +24,38 @@ def join_times(windows: DataFrame, times: DataFrame, key: str, start: str, end:
     return left.join(right, on, how).select("w.*", *[F.col(f"t.{c}") for c in times.columns if c != key]).drop("_bucket")
 
 
+def per_window(windows: DataFrame, times: DataFrame, key: str, number: str, start: str, end: str, time: str, *aggregates: Column) -> DataFrame:
+    """windows (one row for each key and number) with aggregates over the rows of times in [start, end).
+
+    A window's own columns travel with its matches, so nothing before it is computed a second time to be joined back.
+    """
+    own = [c for c in windows.columns if c not in (key, number)]
+    met = join_times(windows.select(key, number, F.struct(*own).alias("_own"), F.col(start).alias("_start"), F.col(end).alias("_end")), times, key, "_start", "_end", time)
+    out = met.groupBy(key, number).agg(F.first("_own").alias("_own"), *aggregates)
+    return out.select(key, number, "_own.*", *[c for c in out.columns if c not in (key, number, "_own")])
+
+
 def nearest_start(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """points (key, point_id, t) with near_id: the interval of the nearest start, the earlier of equally near ones.
 
-    An as-of join both ways by one sort: points and starts of a key in one order of time, each point between its neighbours.
+    An as-of join both ways: points and starts of a span of time in one order, each point between its neighbours; a span's own first
+    and last start stand in for it in what the spans around it are told. So a long key falls into many tasks, and no window looks
+    ahead, which would begin anew at each row.
     """
     starts = intervals.groupBy(key, F.col("start_sec").alias("t")).agg(F.min("note_id").alias("note_id"))
     both = points.select(key, "t", "point_id").withColumn("at", F.lit(None).cast("struct<t:double,note_id:bigint>")).unionByName(
         starts.select(key, "t", F.lit(None).cast("bigint").alias("point_id"), F.struct(F.col("t").cast("double").alias("t"), F.col("note_id").cast("bigint").alias("note_id")).alias("at"))
     )
-    order = Window.partitionBy(key).orderBy("t", F.col("point_id").isNotNull())
-    before = F.last("at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    placed = both.withColumn("b", before).withColumn("a", after).where("point_id is not null")
+    both = both.withColumn("_span", F.floor(F.col("t") / SPAN))
+    edges = both.groupBy(key, "_span").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    rising, falling = Window.partitionBy(key).orderBy("_span"), Window.partitionBy(key).orderBy(F.desc("_span"))
+    told = edges.select(
+        key, "_span", F.last("hi", ignorenulls=True).over(rising.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.last("lo", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("right")
+    )
+    upto = lambda order: Window.partitionBy(key, "_span").orderBy(order, F.col("point_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("b", F.last("at", ignorenulls=True).over(upto(F.asc("t")))).withColumn("a", F.last("at", ignorenulls=True).over(upto(F.desc("t"))))
+    placed = placed.where("point_id is not null").join(told, [key, "_span"])
+    placed = placed.withColumn("b", F.coalesce("b", "left")).withColumn("a", F.coalesce("a", "right"))
     near = F.when(F.col("b").isNull() | (F.abs(F.col("a.t") - F.col("t")) < F.abs(F.col("b.t") - F.col("t"))), F.col("a.note_id")).otherwise(F.col("b.note_id"))
     return placed.select(key, "point_id", "t", near.alias("near_id"))
 

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
-from .rangejoin import join_times
+from .rangejoin import per_window
 from .rhythm import judge
 
 
 def pitch_medians(windows: DataFrame, frames: DataFrame) -> DataFrame:
-    """perf_id, ord, pitch_detected: the median pitch of voiced frames in [p0, p1), -1 without any."""
-    voiced = frames.where("voiced and midi > 0").select("perf_id", "t", "midi")
-    met = join_times(windows.select("perf_id", "ord", "p0", "p1"), voiced, "perf_id", "p0", "p1", "t")
-    return met.groupBy("perf_id", "ord").agg(F.coalesce(F.median("midi"), F.lit(-1.0)).alias("pitch_detected"))
+    """windows (perf_id, ord, p0, p1, ...) with pitch_detected: the median pitch of voiced frames in [p0, p1), -1 without any."""
+    voiced = frames.where("voiced and midi > 0").select("perf_id", "t", F.col("midi").alias("heard"))
+    return per_window(windows, voiced, "perf_id", "ord", "p0", "p1", "t", F.coalesce(F.median("heard"), F.lit(-1.0)).alias("pitch_detected"))
 
 
 def recognize(expected: DataFrame, onsets: DataFrame, frames: DataFrame, s: C.JudgeSettings = C.JudgeSettings(mode="anchored_grid"), hop: Column | float = 512 / 22050) -> DataFrame:
@@ -22,7 +21,7 @@ def recognize(expected: DataFrame, onsets: DataFrame, frames: DataFrame, s: C.Ju
     segments = judge(expected, onsets, frames, s, hop)
     p0 = F.coalesce("det", "onset")
     segments = segments.withColumn("p0", p0).withColumn("p1", p0 + F.greatest(F.col("duration_detected"), F.lit(0.001)))
-    rows = segments.join(pitch_medians(segments, frames), ["perf_id", "ord"], "left")
+    rows = pitch_medians(segments, frames)
     rows = rows.withColumn("missed", F.col("det").isNull() & (F.col("valid_frame_count") == 0))
     right = (F.col("pitch_detected") >= 0) & (F.abs(F.col("pitch_detected") - F.col("midi")) <= s.pitch_tolerance)
     rows = rows.withColumn("pitch_ok", F.coalesce(right, F.lit(False)))

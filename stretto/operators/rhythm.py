@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config as C
 from ..functions.music import timing_result
 from .assign import assign
-from .rangejoin import join_times
+from .rangejoin import per_window
 
 
 def onset_check(assigned: DataFrame, s: C.JudgeSettings = C.JudgeSettings()) -> DataFrame:
@@ -47,24 +47,24 @@ def windows(assigned: DataFrame, s: C.JudgeSettings, hop: Column) -> DataFrame:
 
 
 def trimmed_counts(windowed: DataFrame, frames: DataFrame, s: C.JudgeSettings) -> DataFrame:
-    """perf_id, ord, n_frames, mid_n, valid: frames in the window, those left by the trim, and those of the right pitch.
+    """windowed (perf_id, ord, t0, t1, midi, fast and what else it carries) with n_frames, mid_n and valid: frames in the window,
+    those left by the trim, and those of the right pitch.
 
     Of a slow note's frames, in order, the first and last share (one at least) don't count; if that leaves none, the middle one does.
     """
-    met = join_times(windowed.select("perf_id", "ord", "t0", "t1", F.col("midi").alias("want"), "fast"), frames.select("perf_id", "frame_idx", "t", "midi", "voiced"), "perf_id", "t0", "t1", "t")
-    note = Window.partitionBy("perf_id", "ord")
-    met = met.withColumn("n", F.count("frame_idx").over(note)).withColumn("rn", F.row_number().over(note.orderBy(F.col("frame_idx").asc_nulls_last())) - 1)
-    head = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(s.trim)).cast("int"))
-    middle = F.floor(F.col("n") / 2)
-    kept = F.when(F.col("fast") | (F.col("n") <= 1), True).when(2 * head >= F.col("n"), F.col("rn") == middle).otherwise((F.col("rn") >= head) & (F.col("rn") < F.col("n") - head))
-    there = F.col("frame_idx").isNotNull()
-    right = F.col("voiced") & (F.abs(F.col("midi") - F.col("want")) <= F.lit(s.pitch_tolerance))
-    return met.groupBy("perf_id", "ord").agg(F.count("frame_idx").alias("n_frames"), F.count_if(kept & there).alias("mid_n"), F.count_if(kept & there & right).alias("valid"))
+    heard = frames.select("perf_id", "frame_idx", "t", F.col("midi").alias("heard"), "voiced")
+    found = F.sort_array(F.collect_list(F.when(F.col("frame_idx").isNotNull(), F.struct("frame_idx", "heard", "voiced"))))
+    rows = per_window(windowed, heard, "perf_id", "ord", "t0", "t1", "t", found.alias("_f")).withColumn("n_frames", F.size("_f").cast("long"))
+    n = F.col("n_frames")
+    head = F.greatest(F.lit(1), F.floor(n * F.lit(s.trim))).cast("int")
+    kept = F.when(F.col("fast") | (n <= 1), F.col("_f")).when(2 * head >= n, F.slice("_f", (F.floor(n / 2) + 1).cast("int"), F.lit(1))).otherwise(F.slice("_f", head + 1, (n - 2 * head).cast("int")))
+    right = F.filter("_f", lambda f: f["voiced"] & (F.abs(f["heard"] - F.col("midi")) <= F.lit(s.pitch_tolerance)))
+    rows = rows.withColumn("_f", kept).withColumn("mid_n", F.size("_f").cast("long"))
+    return rows.withColumn("valid", F.size(right).cast("long")).drop("_f")
 
 
-def measure(windowed: DataFrame, counts: DataFrame, s: C.JudgeSettings) -> DataFrame:
-    """Adds the duration verdict: duration_detected, duration_ratio, duration_mode, valid_frame_count, duration_ok."""
-    rows = windowed.join(counts, ["perf_id", "ord"], "left")
+def measure(rows: DataFrame, s: C.JudgeSettings) -> DataFrame:
+    """Adds the duration verdict by the counts: duration_detected, duration_ratio, duration_mode, valid_frame_count, duration_ok."""
     valid, mid = F.coalesce("valid", F.lit(0)), F.coalesce("mid_n", F.lit(0))
     looked = F.col("t0").isNotNull()
     detected = F.when(~looked, 0.0).when(F.col("fast"), valid * F.col("hop")).when(mid > 0, valid / mid * F.col("dur")).otherwise(0.0)
@@ -84,5 +84,5 @@ def judge(expected: DataFrame, onsets: DataFrame, frames: DataFrame, s: C.JudgeS
     hop = F.lit(hop) if isinstance(hop, float) else hop
     assigned = assign(expected, onsets)
     windowed = windows(onset_check(assigned, s), s, hop)
-    out = measure(windowed, trimmed_counts(windowed, frames, s), s)
+    out = measure(trimmed_counts(windowed, frames, s), s)
     return out.withColumn("rhythm_ok", F.col("duration_ok")).withColumn("timing_result", timing_result(F.col("onset_ok"), F.col("duration_ok")))
