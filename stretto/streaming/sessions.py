@@ -85,6 +85,12 @@ class StartSession:
         self.state = "closed" if self.state == "listening" else self.state
         return self.state
 
+    def settled(self) -> bytes:
+        """What is kept of it between batches; one that has ended needs its samples no more."""
+        if self.state != "listening":
+            self.pcm = self.pcm[:0]
+        return pickle.dumps(self)
+
 
 RESULT = "session_id long, state string, score double, detected double, buffer_samples long, filled_samples long, dropped long"
 
@@ -103,21 +109,23 @@ def detect_starts(packets: DataFrame, matcher: Callable[[int], Matcher] | None =
     """A stream of packets (session_id, seq, pcm, sample_rate, t0_sec, arrived) to a row per session and micro-batch.
 
     arrived, in seconds, is the clock, so a replay gives the same results; a processing-time timer ends sessions that fall silent.
-    matcher makes a session's matching function. A session's state is a window of samples and a few numbers.
+    matcher makes a session's matching function. A session's state is a window of samples and a few numbers; of one that has ended
+    the numbers stay, so whatever comes later is told the same end again.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             s = pickle.loads(state.get[0])
             s.evaluate(s.opened + settings.timeout, None)
-            state.remove()
+            state.update((s.settled(),))
             yield _result(key[0], s)
             return
         rows = pd.concat(list(batches)).sort_values(["arrived", "seq"], kind="stable")
         s = pickle.loads(state.get[0]) if state.exists else StartSession(float(rows["arrived"].iloc[0]), settings, int(rows["sample_rate"].iloc[0]))
         _feed(s, rows, matcher(key[0]) if matcher else None)
-        state.update((pickle.dumps(s),))
-        state.setTimeoutDuration(int(settings.timeout * 1000))
+        state.update((s.settled(),))
+        if s.state == "listening":
+            state.setTimeoutDuration(int(settings.timeout * 1000))
         yield _result(key[0], s)
 
     return packets.groupBy("session_id").applyInPandasWithState(run, RESULT, "session binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
@@ -178,7 +186,14 @@ def judge_notes(expected: list[dict], onsets: Iterable[float], t: np.ndarray, mi
 
 
 class RhythmSession:
-    """Judges notes as they close: when the next one has an onset where it is expected and the samples reach past both."""
+    """Judges notes as they close: when the next one has an onset where it is expected and the samples reach past both.
+
+    Each frame is analysed once, as its samples come: what stays is a rise, a pitch and a mark a frame, and the samples of the
+    frames not yet whole.
+    """
+
+    #: Samples of a pitch frame.
+    PITCH_SIZE = 2048
 
     def __init__(self, expected: list[dict], tempo: float = 120.0, rate: int = audio.SAMPLE_RATE, settings: JudgeSettings = JudgeSettings()):
         self.expected = [n for n in expected if not n.get("is_rest")]
@@ -186,28 +201,46 @@ class RhythmSession:
             raise ValueError("no note to judge")
         self.tempo, self.rate, self.settings = tempo if tempo > 0 else 120.0, rate, settings
         self.size = 512 if self.tempo >= 120 else 1024
-        self.pcm, self.emitted, self.closed = np.zeros(0, np.float32), 0, False
+        self.tail, self.total, self.emitted, self.closed = np.zeros(0, np.float32), 0, 0, False
+        self.spectrum = np.zeros(self.size // 2 + 1)
+        self.rises: list[float] = []
+        self.midi: list[float] = []
+        self.voiced: list[bool] = []
         self.queue: list[dict] = []
         self.known: tuple[tuple[float, ...], list[dict]] | None = None
 
     @property
     def seconds(self) -> float:
-        return len(self.pcm) / self.rate
+        return self.total / self.rate
+
+    def hear(self, samples: np.ndarray) -> None:
+        """Analyses the frames that the samples complete; both kinds of frames begin every size samples."""
+        self.tail = np.concatenate([self.tail, samples.astype(np.float32)])
+        self.total += len(samples)
+        begin = self.total - len(self.tail)
+        new = self.tail[len(self.rises) * self.size - begin :]
+        spectra = audio.magnitudes(new, self.size)
+        for m in spectra:
+            self.rises.append(float(np.maximum(m - self.spectrum, 0).sum()))
+            self.spectrum = m
+        _, hz, voiced = audio.pitch_track(self.tail[len(self.midi) * self.size - begin :], self.rate, self.size, self.PITCH_SIZE)
+        self.midi += np.where(voiced, 69 + 12 * np.log2(np.maximum(hz, 1e-9) / 442.0), -1.0).tolist()
+        self.voiced += voiced.tolist()
+        self.tail = self.tail[min(len(self.rises), len(self.midi)) * self.size - begin :].copy()
 
     def segments(self) -> list[dict]:
         """The judgement of all samples so far; again only when the onsets have changed."""
-        onsets = tuple(audio.onsets(self.pcm, self.rate, self.size).tolist())
+        onsets = tuple((audio.pick_peaks(np.array(self.rises)) * self.size / self.rate).tolist())
         if self.known is None or self.known[0] != onsets or self.closed:
-            t, hz, voiced = audio.pitch_track(self.pcm, self.rate, self.size)
-            midi = np.where(voiced, 69 + 12 * np.log2(np.maximum(hz, 1e-9) / 442.0), -1.0)
-            self.known = onsets, judge_notes(self.expected, onsets, t, midi, voiced, self.size / self.rate, self.tempo, self.settings)
+            t = np.arange(len(self.midi)) * self.size / self.rate
+            self.known = onsets, judge_notes(self.expected, onsets, t, np.array(self.midi), np.array(self.voiced, bool), self.size / self.rate, self.tempo, self.settings)
         return self.known[1]
 
     def push(self, samples: np.ndarray, rate: int) -> dict | None:
         if rate != self.rate:
             raise ValueError(f"a packet of rate {rate} in a session of {self.rate}")
         if not self.closed and len(samples):
-            self.pcm = np.concatenate([self.pcm, samples.astype(np.float32)])
+            self.hear(samples)
             self._advance(False)
         return self.poll()
 
@@ -224,7 +257,7 @@ class RhythmSession:
 
     def _advance(self, final: bool) -> None:
         n = len(self.expected)
-        if self.emitted >= n or len(self.pcm) < self.size:
+        if self.emitted >= n or self.total < self.size:
             return
         if not final and (self.emitted + 1 >= n or self.seconds < self.expected[self.emitted + 1]["onset"]):
             return
@@ -245,25 +278,55 @@ class RhythmSession:
 RHYTHM = "session_id long, note_index long, onset_ok boolean, duration_ok boolean, timing_result string"
 
 
-def judge_stream(packets: DataFrame, scores: Callable[[int], tuple[list[dict], float]], settings: JudgeSettings = JudgeSettings()) -> DataFrame:
-    """A stream of packets (session_id, seq, pcm, sample_rate, last) to the notes that close; a packet marked last closes the rest."""
+def _judged(key: int, out: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame({"session_id": [key] * len(out), "note_index": [s["index"] for s in out], "onset_ok": [bool(s["onset_ok"]) for s in out], "duration_ok": [bool(s["duration_ok"]) for s in out], "timing_result": [s["timing_result"] for s in out]})
+
+
+def _heard(session: RhythmSession, rows: pd.DataFrame) -> list[dict]:
+    out = []
+    for p in rows.sort_values("seq", kind="stable").itertuples():
+        got = session.push(np.asarray(p.pcm, np.float32), int(p.sample_rate))
+        while got is not None:
+            out.append(got)
+            got = session.poll()
+        if p.last:
+            out += session.flush()
+    return out
+
+
+def judge_stream(packets: DataFrame, scores: Callable[[int], tuple[list[dict], float]], settings: JudgeSettings = JudgeSettings(), idle: float = 3600.0) -> DataFrame:
+    """A stream of packets (session_id, seq, pcm, sample_rate, last) to the notes that close; a packet marked last closes the rest.
+
+    So does a silence of idle seconds. Of a closed session a mark stays, by which what comes after it is dropped.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        if state.exists:
-            session = pickle.loads(state.get[0])
-        else:
+        session = pickle.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            out = session.flush() if session else []
+            state.update((pickle.dumps(None),))
+            yield _judged(key[0], out)
+            return
+        rows = pd.concat(list(batches))
+        if not state.exists:
             notes, tempo = scores(key[0])
             session = RhythmSession(notes, tempo, int(rows["sample_rate"].iloc[0]), settings)
-        out = []
-        for p in rows.itertuples():
-            got = session.push(np.asarray(p.pcm, np.float32), int(p.sample_rate))
-            while got is not None:
-                out.append(got)
-                got = session.poll()
-            if p.last:
-                out += session.flush()
-        state.update((pickle.dumps(session),))
-        yield pd.DataFrame({"session_id": [key[0]] * len(out), "note_index": [s["index"] for s in out], "onset_ok": [bool(s["onset_ok"]) for s in out], "duration_ok": [bool(s["duration_ok"]) for s in out], "timing_result": [s["timing_result"] for s in out]})
-
-    return packets.groupBy("session_id").applyInPandasWithState(run, RHYTHM, "session binary", "append", GroupStateTimeout.NoTimeout)
+        out = _heard(session, rows) if session else []
+        if session and not session.closed:
+            state.update((pickle.dumps(session),))
+            state.setTimeoutDuration(int(idle * 1000))
+        else:
+            state.update((pickle.dumps(None),))
+        yield _judged(key[0], out)
+
+    return packets.groupBy("session_id").applyInPandasWithState(run, RHYTHM, "session binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def replay_rhythm(packets: DataFrame, scores: Callable[[int], tuple[list[dict], float]], settings: JudgeSettings = JudgeSettings()) -> DataFrame:
+    """The notes that each session of a finished table of packets has closed."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        notes, tempo = scores(key[0])
+        return _judged(key[0], _heard(RhythmSession(notes, tempo, int(rows["sample_rate"].iloc[0]), settings), rows))
+
+    return packets.groupBy("session_id").applyInPandas(run, RHYTHM)

@@ -165,6 +165,7 @@ def test_start_session():
     assert s.push(1, np.zeros(500), 1000, None, 0.3, None) == "listening" and s.dropped == 1
     assert s.push(3, np.zeros(500), 1000, None, 0.4, found) == "started" and s.close() == "started"
     late = sessions.StartSession(0.0, StartSettings(timeout=1.0), 1000)
+    assert len(s.settled()) < 1000 and len(s.pcm) == 0 and s.push(4, np.zeros(500), 1000, None, 0.5, found) == "started"
     assert late.evaluate(1.5, found) == "timed_out" and late.push(0, np.zeros(10), 1000, None, 2.0, found) == "timed_out"
     with pytest.raises(ValueError):
         sessions.StartSession(0.0, StartSettings(), 1000).push(0, np.zeros(1), 999, None, 0.0)
@@ -188,6 +189,30 @@ def test_rhythm_session_agrees_with_the_whole():
     assert [x["index"] for x in out] == list(range(5))
     assert all(x["duration_ok"] for x in out) and sum(x["onset_ok"] for x in out) >= 4
     assert [x["timing_result"] for x in s.segments()][-1] == out[-1]["timing_result"]
+    # frames heard piece by piece are those of the whole, and few samples stay
+    assert np.allclose(s.rises, audio.spectral_flux(pcm, 512)) and len(s.tail) < 3000
+    t, hz, voiced = audio.pitch_track(pcm, rate, 512)
+    assert s.voiced == voiced.tolist()
+    whole = sessions.judge_notes(notes, audio.onsets(pcm, rate, 512), t, np.where(voiced, 69 + 12 * np.log2(np.maximum(hz, 1e-9) / 442.0), -1.0), voiced, 512 / rate)
+    assert [x["timing_result"] for x in whole] == [x["timing_result"] for x in out]
+
+
+def test_rhythm_stream_equals_replay(spark, tmp_path):
+    rate = 22050
+    notes = [{"onset": 0.5 * k, "dur": 0.5, "midi": 60.0 + 2 * k} for k in range(4)]
+    pcm = np.concatenate([np.r_[0.4 * np.sin(2 * np.pi * 442 * 2 ** ((n["midi"] - 69) / 12) * np.arange(9000) / rate), np.zeros(rate // 2 - 9000)] for n in notes]).astype(np.float32)
+    parts = [pcm[i : i + 4000].tolist() for i in range(0, len(pcm), 4000)]
+    rows = [(sid, k, p, rate, k == len(parts) - 1) for sid in range(2) for k, p in enumerate(parts)]
+    packets = spark.createDataFrame(rows, "session_id long, seq long, pcm array<float>, sample_rate int, last boolean")
+    for k in range(3):
+        packets.where(f"seq >= {k * 4} and seq < {k * 4 + 4}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    packets.where("seq = 0").write.parquet(f"{tmp_path}/in/9")  # after the end: dropped
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    score = lambda sid: (notes, 120.0)
+    query = sessions.judge_stream(stream, score).writeStream.format("memory").queryName("rhythm").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("rhythm").collect())) == sorted(map(tuple, sessions.replay_rhythm(packets, score).collect()))
+    assert spark.table("rhythm").count() == 8
 
 
 def test_streaming_equals_replay(spark, tmp_path):
