@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -116,3 +119,9 @@ def grid_post(tempo: Column, s: JudgeSettings = JudgeSettings()) -> Column:
 def usable_tempo(tempo: Column) -> Column:
     """A tempo that is missing or not positive counts as the default."""
     return F.when(tempo > 0, tempo).otherwise(DEFAULT_TEMPO)
+
+
+def params_hash(*settings) -> str:
+    """Twelve hexadecimal digits that tell settings apart."""
+    whole = {type(s).__name__: dataclasses.asdict(s) for s in settings}
+    return hashlib.sha256(json.dumps(whole, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12]

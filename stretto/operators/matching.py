@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import MatchSettings
 from ..functions.music import dot, frame_cost
+from .rangejoin import covering
 
 
 def _aligned(templates: DataFrame, queries: DataFrame, stride: int = 1) -> DataFrame:
@@ -180,8 +181,62 @@ def match_pairs(templates: DataFrame, queries: DataFrame, kernel: Callable[[np.n
     return both.mapInArrow(run, "pair long, rank int, cost double, start long, end long, score double")
 
 
+#: Seconds that a query and a template may last.
+QUERY_SEC, TEMPLATE_SEC = (1.0, 5.0), (300.0, 1800.0)
+
+
+def guarded(durations: DataFrame, bounds: tuple[float, float], what: str, column: str = "duration_sec") -> DataFrame:
+    """durations, or an error that names what lasts too short or too long."""
+    low, high = bounds
+    told = F.concat(F.lit(f"{what} of "), F.round(column, 3).cast("string"), F.lit(f" s is not within {low:g} to {high:g} s"))
+    return durations.withColumn(column, F.when(F.col(column).between(low, high), F.col(column)).otherwise(F.raise_error(told).cast("double")))
+
+
+def low_score(score: Column, least: float = 0.35) -> Column:
+    """A warning where the best score is low, else null."""
+    return F.when(score < least, F.concat(F.lit("low confidence: score "), F.round(score, 3).cast("string")))
+
+
+def match_templates(templates: DataFrame, queries: DataFrame, frame_sec: float, mode: str = "global", top_k: int = 3, least_score: float = 0.35, settings: MatchSettings = MatchSettings(), stride: int = 8, coarse: int = 24, band: float = 0.12, durations: DataFrame | None = None) -> DataFrame:
+    """pair, rank, start, end (frames), start_sec, end_sec, score, method, warning: where each pair's query lies in its template.
+
+    mode global warps over the whole template and gives the best match; coarse_local scans at a stride and warps around the top_k of
+    coarse candidates. A query longer than its template, or outside a query's length in seconds (that of durations, if given, else of
+    its frames), is an error.
+    """
+    if mode not in ("global", "coarse_local"):
+        raise ValueError(f"unknown search mode {mode}")
+    length = queries.groupBy("pair").agg((F.count("*") * F.lit(frame_sec)).alias("duration_sec"))
+    checked = guarded(length if durations is None else durations, QUERY_SEC, "a query").where("duration_sec is not null").select("pair", "duration_sec")
+    kernel = (lambda t, q: best_global(*normalized(t, q, settings.normalize), settings)) if mode == "global" else (lambda t, q: coarse_refined(t, q, top_k, stride, coarse, band))
+    found = match_pairs(templates, queries, kernel).join(checked, "pair").where(F.col("rank") <= top_k)
+    best = F.first("score").over(Window.partitionBy("pair").orderBy("rank"))
+    seconds = lambda c: F.col(c) * F.lit(frame_sec)
+    return found.select("pair", "rank", "start", "end", seconds("start").alias("start_sec"), seconds("end").alias("end_sec"), "score", F.col("duration_sec").alias("query_duration_sec"), F.lit(f"warping_{mode}").alias("method"), low_score(best, least_score).alias("warning"))
+
+
+def context_windows(contexts: DataFrame, queries: DataFrame, frame_sec: float, expected_sec: float = 20.0) -> DataFrame:
+    """contexts for locate (pair, low, high in frames) from where a pair was last found: (pair, last_sec, last_timestamp, timestamp).
+
+    The centre lies where the template has got to since, never before where it was; half a window to either side is the larger of the
+    query's length and expected_sec, halved. Without a place it was last found at there is no context.
+    """
+    length = queries.groupBy("pair").agg((F.count("*") * F.lit(frame_sec)).alias("query_sec"))
+    since = F.coalesce(F.greatest(F.lit(0.0), F.col("timestamp") - F.col("last_timestamp")), F.lit(0.0))
+    rows = contexts.where("last_sec is not null").join(length, "pair").withColumn("centre", F.col("last_sec") + since).withColumn("half", F.greatest(F.col("query_sec"), F.lit(expected_sec)) / 2)
+    return rows.select("pair", F.ceil(F.greatest(F.lit(0.0), F.col("centre") - F.col("half")) / F.lit(frame_sec)).alias("low"), F.floor((F.col("centre") + F.col("half")) / F.lit(frame_sec)).alias("high"))
+
+
+def candidates(found: DataFrame, events: DataFrame, frame_sec: float) -> DataFrame:
+    """Matches (pair, rank, start, end, score) with the note that each begins at: its id, measure, beat and pitch."""
+    points = found.select("pair", F.col("rank").cast("long").alias("point_id"), (F.col("start") * F.lit(frame_sec)).alias("t"))
+    notes = covering(points, events.select("pair", "note_id", "start_sec", "end_sec"), "pair", closed=True).select("pair", F.col("point_id").cast("int").alias("rank"), "note_id")
+    named = found.join(notes, ["pair", "rank"], "left").join(events.select("pair", "note_id", "measure", "beat", "pitch_midi"), ["pair", "note_id"], "left")
+    return named.withColumn("start_sec", F.col("start") * F.lit(frame_sec)).withColumn("end_sec", F.col("end") * F.lit(frame_sec))
+
+
 def locate(templates: DataFrame, queries: DataFrame, contexts: DataFrame, events: DataFrame, top_k: int = 5, separation: int = 3, least_score: float = 0.35, margin: float = 0.03, settings: MatchSettings = MatchSettings()) -> DataFrame:
-    """pair, start, score, ambiguous, confidence, context_used, note_id: where each query lies in its template.
+    """pair, start, score, ambiguous, confidence, context_used, note_id, warning: where each query lies in its template.
 
     contexts (pair, low, high) bound a first search; its result counts if its best score is high enough, and the whole template is
     searched only for the other pairs. events (pair, note_id, start_sec, end_sec), in frames here, name the note found.
@@ -199,7 +254,5 @@ def locate(templates: DataFrame, queries: DataFrame, contexts: DataFrame, events
     best = found.withColumn("second", second).where("rank = 1")
     ambiguous = F.coalesce(F.col("score") - F.col("second") <= margin, F.lit(False))
     best = best.withColumn("ambiguous", ambiguous).withColumn("confidence", F.when(ambiguous, F.greatest(F.lit(0.0), F.col("score") - F.col("second"))).otherwise(F.col("score")))
-    from .rangejoin import covering
-
     notes = covering(best.select("pair", F.col("pair").alias("point_id"), F.col("start").cast("double").alias("t")), events, "pair", closed=True)
-    return best.join(notes.select("pair", "note_id"), "pair", "left").select("pair", "start", "end", "score", "ambiguous", "confidence", "context_used", "note_id")
+    return best.join(notes.select("pair", "note_id"), "pair", "left").select("pair", "start", "end", "score", "ambiguous", "confidence", "context_used", "note_id", low_score(F.col("score"), least_score).alias("warning"))

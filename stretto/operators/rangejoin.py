@@ -43,8 +43,9 @@ def nearest_start(points: DataFrame, intervals: DataFrame, key: str) -> DataFram
     ahead, which would begin anew at each row.
     """
     starts = intervals.groupBy(key, F.col("start_sec").alias("t")).agg(F.min("note_id").alias("note_id"))
-    both = points.select(key, "t", "point_id").withColumn("at", F.lit(None).cast("struct<t:double,note_id:bigint>")).unionByName(
-        starts.select(key, "t", F.lit(None).cast("bigint").alias("point_id"), F.struct(F.col("t").cast("double").alias("t"), F.col("note_id").cast("bigint").alias("note_id")).alias("at"))
+    own, point = dict(intervals.dtypes)["note_id"], dict(points.dtypes)["point_id"]
+    both = points.select(key, "t", "point_id").withColumn("at", F.lit(None).cast(f"struct<t:double,note_id:{own}>")).unionByName(
+        starts.select(key, "t", F.lit(None).cast(point).alias("point_id"), F.struct(F.col("t").cast("double").alias("t"), "note_id").alias("at"))
     )
     both = both.withColumn("_span", F.floor(F.col("t") / SPAN))
     edges = both.groupBy(key, "_span").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))

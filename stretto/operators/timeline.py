@@ -78,6 +78,20 @@ def notes_per_interval(scores: DataFrame, notes: DataFrame, size: int = 4) -> Da
     return intervals(scores, size).join(counts, ["score_id", "id"], "left").withColumn("note_count", F.coalesce("note_count", F.lit(0)))
 
 
+def catalogue(scores: DataFrame, notes: DataFrame, size: int = 4) -> DataFrame:
+    """score_id, title, total_measures, interval_count, note_count of scores (score_id, total_measures and a title, if any)."""
+    counts = notes.groupBy("score_id").agg(F.count("*").alias("note_count"))
+    title = F.col("title") if "title" in scores.columns else F.col("score_id").cast("string")
+    bars = F.col("total_measures").cast("int")
+    rows = scores.select("score_id", title.alias("title"), bars.alias("total_measures"), F.greatest(F.lit(0), F.ceil(bars / size)).cast("int").alias("interval_count"))
+    return rows.join(counts, "score_id", "left").withColumn("note_count", F.coalesce("note_count", F.lit(0)))
+
+
+def in_measure(notes: DataFrame, measure: int, key: str = "score_id") -> DataFrame:
+    """The notes of one measure, in their order within it."""
+    return notes.where(F.col("measure") == measure).orderBy(key, *["ord"] if "ord" in notes.columns else ["beat", "start_sec", "note_id"])
+
+
 def calibrate(events: DataFrame, key: str, duration: str, offset: float = 0.0) -> DataFrame:
     """Stretches start_sec and end_sec so that the last end falls on the recording's duration; adds scale."""
     last = F.max("end_sec").over(Window.partitionBy(key))

@@ -57,6 +57,15 @@ def multirest_expand(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.multiple_rests(m, "perf_id").select("perf_id", "measure", "skipped", "onset")
 
 
+def score_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.catalogue(_scores(spark, sf), _notes(spark, sf))
+
+
+def measure_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The notes of every piece's third measure."""
+    return timeline.in_measure(_notes(spark, sf), 3).select("score_id", "ord", "measure", F.round("onset", 6).alias("onset"), "pitch_midi")
+
+
 def interval_partition(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.intervals(_scores(spark, sf))
 
@@ -155,7 +164,7 @@ def interval_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "timeline_onsets": timeline_onsets, "chord_anchor": chord_anchor, "tempo_ffill": tempo_ffill, "tempo_offset_asof": tempo_offset_asof, "tempo_pieces": tempo_pieces, "multirest_expand": multirest_expand,
-    "interval_partition": interval_partition, "notes_per_interval": notes_per_interval, "score_summary": score_summary, "note_index": note_index, "practice_slice": practice_slice, "start_lookup": start_lookup,
+    "score_catalogue": score_catalogue, "measure_notes": measure_notes, "interval_partition": interval_partition, "notes_per_interval": notes_per_interval, "score_summary": score_summary, "note_index": note_index, "practice_slice": practice_slice, "start_lookup": start_lookup,
     "resolve_nth_note": resolve_nth_note, "template_t0": template_t0, "score_violations": score_violations, "track_violations": track_violations, "template_map": template_map, "calibrate_events": calibrate_events,
     "nearest_note_halfopen": _nearest(False), "nearest_note_closed": _nearest(True), "beat_tolerant_index": beat_tolerant_index, "score_round_trip": interval_round_trip,
 }
@@ -185,6 +194,8 @@ SQL = {
     "multirest_expand": f"""{N}, m as (select perf_id, measure, case when min(l_partkey) % 13 = 0 then min(l_partkey) % 3 + 2 end as bars from v_notes group by all),
       s as (select *, coalesce(measure <= max(case when bars > 1 then measure + bars - 1 end) over (partition by perf_id order by measure rows between unbounded preceding and 1 preceding), false) as skipped from m)
       select perf_id, measure, skipped, coalesce(sum(case when skipped then 0.0 else 2.0 * coalesce(bars, 1) end::double) over (partition by perf_id order by measure rows between unbounded preceding and 1 preceding), 0.0)::double as onset from s""",
+    "score_catalogue": f"{N} select perf_id as score_id, perf_id::varchar as title, max(measure)::int as total_measures, ceil(max(measure) / 4.0)::int as interval_count, count(*) as note_count from v_notes group by perf_id",
+    "measure_notes": f"{N} select perf_id as score_id, ord, measure, round(onset, 6) as onset, pitch_midi from v_notes where measure = 3",
     "interval_partition": f"{N}, s as (select perf_id as score_id, max(measure)::int as total from v_notes group by all), i as (select *, unnest(generate_series(1, total, 4))::int as start_measure from s) select score_id, ((start_measure - 1) // 4)::int as id, start_measure, least(start_measure + 3, total)::int as end_measure from i",
     "notes_per_interval": f"""{N}, s as (select perf_id as score_id, max(measure)::int as total from v_notes group by all), i as (select *, unnest(generate_series(1, total, 4))::int as start_measure from s)
       select score_id, ((start_measure - 1) // 4)::int as id, start_measure, least(start_measure + 3, total)::int as end_measure, count(n.ord) as note_count from i left join v_notes n on n.perf_id = score_id and not n.is_rest and (n.measure - 1) // 4 = (start_measure - 1) // 4 group by all""",

@@ -59,28 +59,6 @@ def read_template_map(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("score_id", F.coalesce(named, F.raise_error(F.concat(F.lit("no template for "), F.col("score_id"))).cast("string")).alias("template_id"))
 
 
-def score_catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """Headers of all stored scores, by id."""
-    return _json(spark, f"{root}/*/meta.json", SCORE).drop("notes").orderBy("score_id")
-
-
-def write_scores(headers: DataFrame, notes: DataFrame, root: str, overwrite: bool = False) -> None:
-    """Scores as a table by score_id; one that is there already is an error unless overwrite."""
-    nested = notes.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in notes.columns if c not in ("score_id", "ord")]).alias("n")))).alias("s"))
-    whole = headers.join(nested, "score_id", "left").withColumn("notes", F.transform("s", lambda x: x["n"])).drop("s")
-    whole.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("score_id").parquet(root)
-
-
-def write_json(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One JSON record a line."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
-
-
-def write_report(measures: DataFrame, path: str) -> None:
-    """A report by measure as CSV with a header."""
-    measures.write.mode("overwrite").csv(path, header=True)
-
-
 def read_template_arrays(spark: SparkSession, paths: str) -> DataFrame:
     """path, idx, vec of matrices stored as .npy."""
 
@@ -93,7 +71,3 @@ def read_template_arrays(spark: SparkSession, paths: str) -> DataFrame:
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, idx long, vec array<double>")
 
-
-def write_template(frames: DataFrame, root: str, overwrite: bool = False) -> None:
-    """Template frames (template_id, kind, idx, vec) as a table by template and kind, in order."""
-    frames.repartition("template_id", "kind").sortWithinPartitions("template_id", "kind", "idx").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("template_id", "kind").parquet(root)

@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stretto.operators import contract, timeline
-from stretto.sources import json_io, musicxml
+from stretto.sources import json_io, musicxml, stores
 
 HEAD = "<score-partwise><work><work-title>Study</work-title></work><part id='P1'>"
 TAIL = "</part></score-partwise>"
@@ -87,9 +88,33 @@ def test_contract_and_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(score))
     head, notes = json_io.read_scores(spark, f"{tmp_path}/a.json")
     assert notes.count() == 1 and head.first().title == "t"
-    json_io.write_scores(head.drop("path", "schema"), notes.drop("tempo"), f"{tmp_path}/store")
-    with pytest.raises(Exception):
-        json_io.write_scores(head.drop("path", "schema"), notes.drop("tempo"), f"{tmp_path}/store")
+    stores.save_scores(head, notes, f"{tmp_path}/store")
+    with pytest.raises(FileExistsError):
+        stores.save_scores(head, notes, f"{tmp_path}/store")
+    stores.save_scores(head.withColumn("title", F.lit("new")), notes, f"{tmp_path}/store", overwrite=True)
+    stores.save_scores(head.withColumn("score_id", F.lit("s2")), notes.limit(0), f"{tmp_path}/store")
+    meta, back = stores.load_scores(spark, f"{tmp_path}/store")
+    assert {(r.score_id, r.title, r.note_count, r.interval_count) for r in meta.collect()} == {("s1", "new", 1, 1), ("s2", "t", 0, 1)}
+    assert [(r.score_id, r.pitch, r.onset, r.ord) for r in back.collect()] == [("s1", "C4", 0.0, 0)]
+    # the layout of one folder per score is read as well; a folder without notes is an error
+    (tmp_path / "store" / "s3").mkdir()
+    (tmp_path / "store" / "s3" / "meta.json").write_text(json.dumps(score | {"score_id": "s3", "note_count": 1, "interval_count": 1}, indent=2))
+    assert [r.score_id for r in stores.list_scores(spark, f"{tmp_path}/store").collect()] == ["s1", "s2", "s3"]
+    with pytest.raises(Exception, match="without header or notes"):
+        stores.load_scores(spark, f"{tmp_path}/store")[0].collect()
+    (tmp_path / "store" / "s3" / "notes.json").write_text(json.dumps({"schema_version": "1.0", "score_id": "s3", "notes": score["notes"]}, indent=2))
+    assert stores.load_scores(spark, f"{tmp_path}/store", ["s3"])[1].count() == 1 and stores.load_scores(spark, f"{tmp_path}/store")[0].count() == 3
+    with pytest.raises(FileNotFoundError):
+        stores.load_scores(spark, f"{tmp_path}/store", ["none"])
+    assert stores.list_scores(spark, f"{tmp_path}/nowhere").count() == 0
+    stores.dump_scores(head, notes, f"{tmp_path}/dump")
+    assert json_io.read_scores(spark, f"{tmp_path}/dump/*/*")[1].first().pitch_midi == 60
+    with pytest.raises(Exception, match="duration"):
+        stores.dump_scores(head, notes.withColumn("duration", F.lit(0.0)), f"{tmp_path}/bad")
+    track = spark.createDataFrame([("p/1", 22050, 512, 0.1)], "perf_id string, sample_rate int, frame_size int, window_duration_sec double")
+    frames = spark.createDataFrame([("p/1", 0, 0.0, 262.0, 60.0, "C4", True), ("p/1", 1, 0.1, None, None, None, False)], "perf_id string, frame_idx long, t double, frequency_hz double, midi double, pitch string, voiced boolean")
+    stores.dump_tracks(track, frames, f"{tmp_path}/tracks")
+    assert [(r.t, r.midi, r.voiced) for r in json_io.read_tracks(spark, f"{tmp_path}/tracks/*/*")[1].orderBy("frame_idx").collect()] == [(0.0, 60.0, True), (0.1, None, False)]
     (tmp_path / "b.json").write_text(json.dumps(score | {"schema": "other"}))
     with pytest.raises(Exception, match="not score data"):
         json_io.read_scores(spark, f"{tmp_path}/b.json")[1].collect()
@@ -107,3 +132,28 @@ def test_calibration_and_intervals(spark):
     assert [(r.id, r.start_measure, r.end_measure) for r in timeline.intervals(s).orderBy("id").collect()] == [(0, 1, 4), (1, 5, 8), (2, 9, 9)]
     with pytest.raises(ValueError):
         timeline.intervals(s, 0)
+
+
+def test_templates_and_reports(spark, tmp_path):
+    root = f"{tmp_path}/templates"
+    meta = spark.createDataFrame([("t1", 0.1, 2.0)], "template_id string, frame_sec double, duration_sec double")
+    frames = spark.createDataFrame([("t1", "fine", k, [float(k)]) for k in range(4)] + [("t1", "coarse", 0, [1.5])], "template_id string, kind string, idx long, vec array<double>")
+    events = spark.createDataFrame([("t1", "n1", 0.0, 1.0)], "template_id string, note_id string, start_sec double, end_sec double")
+    stores.save_templates(meta, frames, events, root)
+    with pytest.raises(FileExistsError):
+        stores.save_templates(meta, frames, events, root)
+    stores.save_templates(meta.withColumn("duration_sec", F.lit(3.0)), frames, events, root, overwrite=True)
+    (tmp_path / "templates" / "t2").mkdir()
+    (tmp_path / "templates" / "t2" / "meta.json").write_text(json.dumps({"template_id": "t2", "duration_sec": 1.0}, indent=1))
+    np.save(tmp_path / "templates" / "t2" / "pitch.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    more = spark.createDataFrame([("t1", "x"), ("t2", "y")], "template_id string, note_id string")
+    m, f, e = stores.load_templates(spark, root, fallback_events=more)
+    assert {(r.template_id, r.duration_sec) for r in m.collect()} == {("t1", 3.0), ("t2", 1.0)}
+    assert f.where("template_id = 't1' and kind = 'fine'").count() == 4 and [r.vec for r in f.where("template_id = 't2'").orderBy("idx").collect()] == [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]
+    assert {(r.template_id, r.note_id) for r in e.collect()} == {("t1", "n1"), ("t2", "y")}
+    with pytest.raises(FileNotFoundError):
+        stores.load_templates(spark, root, ["t9"])
+    measures = spark.createDataFrame([("p", 1, 1, 2, "60+ 62-"), ("p", 2, 1, 1, "64+")], "perf_id string, measure int, hits long, notes long, line string")
+    stores.write_report(measures, spark.createDataFrame([(3, 2)], "total int, hits int"), f"{tmp_path}/report")
+    text = spark.read.text(f"{tmp_path}/report/markdown/*/*", wholetext=True).first()[0]
+    assert "# p" in text and "| 1 | 1/2 | 60+ 62- |" in text and spark.read.json(f"{tmp_path}/report/summary").first().hits == 2
