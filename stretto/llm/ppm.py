@@ -8,7 +8,9 @@ the shorter ones' totals. A text's code length, as log10, is the sum over its by
 The trie is never in one place. Since contexts nest, the byte and its whole context - one gram of ORDER + 1 bytes - decides the
 probability. Blocks of texts send their distinct grams with training counts to the part of the trie that holds all longer
 contexts of a two-byte context; parts add the counts up, work out each gram's probability, and send them back to the blocks in the
-order asked. Only contexts of up to one byte are shared by all parts: 65,536 counts at most, whatever the input.
+order asked. A context that more than a set share of all bytes follow is hot: its longer contexts are dealt one by one, again and
+again as long as they are hot. All parts share the contexts of up to one byte, 65,536 counts at most, and the hot ones, 256 counts
+for each; as they are a share of all, there are 2 / HOT_SHARE of each length at most, whatever the input.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BLOCK_BYTES = 12 << 20
 #: Bytes of text whose grams are looked at together.
 PIECE = 1 << 20
 SHIFT = np.uint64(8)
+#: Share of all bytes over which a context is hot, if it is (from half of it on some are), and the lengths that may be.
+HOT_SHARE, HOT_LENGTHS = 1 / 512, (2, 3, 4)
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +100,63 @@ class Table:
         return self.values[at]
 
 
+class Hot:
+    """Hot contexts by length, sorted, and how often each byte follows them in training."""
+
+    def __init__(self, contexts: dict[int, np.ndarray]):
+        self.contexts = {k: np.asarray(contexts.get(k, []), np.uint64) for k in HOT_LENGTHS}
+        self.counts = {k: np.zeros((len(c), 256), np.int64) for k, c in self.contexts.items()}
+
+    def place(self, k: int, gram: np.ndarray) -> np.ndarray:
+        """The hot context of length k before each gram's byte, or -1."""
+        own = self.contexts[k]
+        context = (gram >> SHIFT) & np.uint64((1 << 8 * k) - 1)
+        at = np.minimum(np.searchsorted(own, context), max(0, len(own) - 1))
+        return np.where(own[at] == context, at, -1) if len(own) else np.full(len(gram), -1)
+
+    def fill(self, rows: list[tuple[int, int, int]]) -> None:
+        """rows: (length, context and byte, count)."""
+        for k, code, n in rows:
+            at = int(np.searchsorted(self.contexts[k], np.uint64(code >> 8)))
+            self.counts[k][at, code & 255] = n
+
+
+def common_contexts(table: DataFrame) -> dict[int, np.ndarray]:
+    """The hot contexts of all texts (a column text of bytes): at least each that HOT_SHARE of all bytes follow.
+
+    A context of that share has it in some task, so tasks tell of those alone that have it there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n, total, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, []
+        longest = max(HOT_LENGTHS)
+        for b in batches:
+            raw, off = common.byte_lists(b.column("text"))
+            for i in range(0, len(raw), PIECE):
+                own = raw[i : i + PIECE + longest].astype(np.uint64)
+                g = np.zeros(max(0, len(own) - longest), np.uint64)  # the few that lie over two texts do no harm
+                for k in range(longest):
+                    g = (g << SHIFT) | own[k : len(own) - longest + k]
+                g.sort()
+                held.append(counted(g))
+                total += len(g)
+                if len(held) >= 8:
+                    code, n = merged(np.concatenate([code, *[h[0] for h in held]]), np.concatenate([n, *[h[1] for h in held]]))
+                    held = []
+        code, n = merged(np.concatenate([code, *[h[0] for h in held]]), np.concatenate([n, *[h[1] for h in held]]))
+        rows = [(0, 0, total)]
+        for k in HOT_LENGTHS:
+            c, m = merged(code & np.uint64((1 << 8 * k) - 1), n)
+            often = m >= total * HOT_SHARE / 2
+            rows += [(k, x, y) for x, y in zip(c[often].tolist(), m[often].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["length", "context", "n"])
+
+    found = table.select("text").mapInArrow(run, "length int, context long, n long").groupBy("length", "context").agg(F.sum("n").alias("n"))
+    total = found.agg(F.sum(F.when(F.col("length") == 0, F.col("n")))).first()[0] or 0
+    rows = found.where((F.col("length") > 0) & (F.col("n") >= F.lit(total * HOT_SHARE / 2))).collect()  # 2 / HOT_SHARE of a length at most
+    return {k: np.array(sorted(r.context for r in rows if r.length == k), np.uint64) for k in HOT_LENGTHS}
+
+
 def low_orders(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by (byte before, byte) and by byte, from the pairs' counts."""
     one = np.zeros((256, 256), np.int64)
@@ -104,8 +165,9 @@ def low_orders(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return one, one.sum(0)
 
 
-def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 of each gram's probability. gram: sorted and distinct, with all grams of each two-byte context; count: in training."""
+def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero: np.ndarray, hot: Hot, order: int = ORDER) -> np.ndarray:
+    """log10 of each gram's probability. gram: sorted and distinct, with all grams of each context that is dealt as one; count: in
+    training. What shorter contexts are followed by is told by hot, one and zero."""
     n = len(gram)
     out = np.zeros(n)
     done = np.zeros(n, bool)
@@ -123,6 +185,11 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero
             own = np.cumsum(np.isin(np.arange(len(key)), node_first)) - 1
             total = np.bincount(own, c, len(node)).astype(np.int64)[own][place]
             distinct = np.bincount(own, c > 0, len(node)).astype(np.int64)[own][place]
+            at_hot = hot.place(k, gram) if k in HOT_LENGTHS else np.full(n, -1)
+            known = at_hot >= 0
+            follow = hot.counts[k][at_hot[known]] if known.any() else None
+            if follow is not None:
+                total[known], distinct[known] = follow.sum(1), (follow > 0).sum(1)
         elif k == 1:
             before = ((gram >> SHIFT) & np.uint64(255)).astype(np.int64)
             c_here = one[before, byte]
@@ -148,6 +215,11 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero
             short_key, short_count = counted(short[by], c[by])
             at = np.empty(len(key), np.int64)
             at[by] = np.cumsum(np.r_[False, short[by][1:] != short[by][:-1]])
+            if k - 1 in HOT_LENGTHS:  # this part may not hold all that a hot context is followed by
+                split = hot.place(k - 1, short_key)
+                some = np.flatnonzero(split >= 0)
+                short_count = short_count.copy()
+                short_count[some] = hot.counts[k - 1][split[some], (short_key[some] & np.uint64(255)).astype(np.int64)]
             below = short_count[at]
             next_level = (short_key, at[place], short_count)
         elif k == 2:
@@ -155,6 +227,13 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero
             next_level = None
         if k >= 2:
             longer_total = np.bincount(own, np.where(c > 0, below, 0), len(node)).astype(np.int64)[own][place]
+            if follow is not None:
+                # of a hot context's bytes: what they sum up to in the context one shorter, which is hot as well or has one byte
+                if k == 2:
+                    shorter = one[(hot.contexts[2] & np.uint64(255)).astype(np.int64)]
+                else:
+                    shorter = hot.counts[k - 1][hot.place(k - 1, hot.contexts[k] << SHIFT)]
+                longer_total[known] = ((hot.counts[k] > 0) * shorter).sum(1)[at_hot[known]]
             level = next_level
         else:
             longer_total = ((one > 0) * zero[None, :]).sum(1)[before]
@@ -163,9 +242,13 @@ def log_probabilities(gram: np.ndarray, count: np.ndarray, one: np.ndarray, zero
     return out
 
 
-def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
-    """The trie part that holds a gram: by the two bytes before its byte."""
+def part_of(gram: np.ndarray, parts: int, hot: Hot) -> np.ndarray:
+    """The trie part that holds a gram: by the two bytes before its byte, or by as many more as it takes to be hot no longer."""
     context = (gram >> SHIFT) & np.uint64(0xFFFF)
+    some = np.arange(len(gram))
+    for k in HOT_LENGTHS:
+        some = some[hot.place(k, gram[some]) >= 0]
+        context[some] = (gram[some] >> SHIFT) & np.uint64((1 << 8 * (k + 1)) - 1)
     return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
 
 
@@ -178,11 +261,12 @@ def undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-GATHERED = "block int, kind string, part int, keys binary, counts binary, n long"
+GATHERED = "block int, kind string, part int, keys binary, counts binary, n long, code long"
 
 
-def gather(table: pa.Table, parts: int) -> pa.Table:
-    """One block's distinct grams and words with their training counts, dealt by part, and its counts of byte pairs."""
+def gather(table: pa.Table, parts: int, hot: Hot) -> pa.Table:
+    """One block's distinct grams and words with their training counts, dealt by part, and its counts of byte pairs and of what
+    follows hot contexts."""
     block = table.column("block")[0].as_py()
     texts, held_out = common.unpacked(table, "text", "held_out")
     train = ~np.array(held_out)
@@ -213,32 +297,37 @@ def gather(table: pa.Table, parts: int) -> pa.Table:
             held = []
     rows: list[tuple] = []
     if len(gram):
-        p = part_of(gram, parts)
+        p = part_of(gram, parts, hot)
         order = np.argsort(p, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
-            rows.append((block, "gram", int(p[own[0]]), deltas(gram[own]), zlib.compress(count[own].astype("<u4").tobytes(), 1), 0))
+            rows.append((block, "gram", int(p[own[0]]), deltas(gram[own]), zlib.compress(count[own].astype("<u4").tobytes(), 1), 0, None))
         pair = gram & np.uint64(0xFFFF)
         order = np.argsort(pair)
         keys, n = counted(pair[order], count[order])
-        rows += [(block, "pair", int(k), None, None, int(c)) for k, c in zip(keys.tolist(), n.tolist()) if c]
+        rows += [(block, "pair", int(k), None, None, int(c), None) for k, c in zip(keys.tolist(), n.tolist()) if c]
+        for k in HOT_LENGTHS:
+            some = np.flatnonzero((hot.place(k, gram) >= 0) & (count > 0))
+            keys, n = merged(gram[some] & np.uint64((1 << 8 * (k + 1)) - 1), count[some])
+            rows += [(block, "hot", k, None, None, c, code) for code, c in zip(keys.tolist(), n.tolist())]
     dealt: dict[int, list[bytes]] = {}
     for w in words:
         dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
     for k, own in dealt.items():
         own.sort()
         counts_ = np.array([words[w] for w in own], "<u4")
-        rows.append((block, "word", k, zlib.compress(b"\n".join(own), 1), zlib.compress(counts_.tobytes(), 1), 0))
-    rows.append((block, "sum", 0, None, None, tokens))
-    return pa.table(dict(zip(("block", "kind", "part", "keys", "counts", "n"), map(list, zip(*rows)))), pa.schema([("block", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())]))
+        rows.append((block, "word", k, zlib.compress(b"\n".join(own), 1), zlib.compress(counts_.tobytes(), 1), 0, None))
+    rows.append((block, "sum", 0, None, None, tokens, None))
+    schema = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("code", pa.int64())])
+    return pa.table(dict(zip(schema.names, map(list, zip(*rows)))), schema)
 
 
-def answer_grams(table: pa.Table, one: np.ndarray, zero: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def answer_grams(table: pa.Table, one: np.ndarray, zero: np.ndarray, hot: Hot) -> tuple[list[np.ndarray], list[np.ndarray]]:
     keys = [undeltas(k) for k in table.column("keys").to_pylist()]
     counts = [np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64) for c in table.column("counts").to_pylist()]
     gram, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for i in range(0, len(keys), 16):
         gram, count = merged(np.concatenate([gram, *keys[i : i + 16]]), np.concatenate([count, *counts[i : i + 16]]))
-    values = log_probabilities(gram, count, one, zero)
+    values = log_probabilities(gram, count, one, zero, hot)
     return keys, [values[np.searchsorted(gram, k)] for k in keys]
 
 
@@ -256,11 +345,11 @@ ANSWERS = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("keys", pa.b
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, known_sum double, n_bytes long, score double"
 
 
-def answer(table: pa.Table, one: np.ndarray, zero: np.ndarray) -> pa.Table:
+def answer(table: pa.Table, one: np.ndarray, zero: np.ndarray, hot: Hot) -> pa.Table:
     kind = table.column("kind")[0].as_py()
     blocks = table.column("block").to_pylist()
     if kind == "gram":
-        _, values = answer_grams(table, one, zero)
+        _, values = answer_grams(table, one, zero, hot)
         rows = {"block": blocks, "kind": ["gram"] * len(blocks), "keys": table.column("keys"), "counts": [zlib.compress(v.astype("<f8").tobytes(), 1) for v in values], "n": [0] * len(blocks)}
     else:
         asked, values, distinct = answer_words(table)
@@ -314,13 +403,16 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     parts = max(8, 2 * n_blocks)
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table = table.withColumn("block", common.block_of(F.struct("doc_id", F.length("text")), n_blocks))
+    hot = Hot(common_contexts(table))
     table = common.packed_blocks(table)
-    asked = common.written(table.groupBy("block").applyInArrow(lambda t: gather(t, parts), GATHERED), "grams")
+    asked = common.written(table.groupBy("block").applyInArrow(lambda t: gather(t, parts, hot), GATHERED), "grams")
     pairs = {r.part: r.n for r in asked.where("kind = 'pair'").groupBy("part").agg(F.sum("n").alias("n")).collect()}  # 65,536 at most
     one, zero = low_orders(pairs)
+    followed = asked.where("kind = 'hot'").groupBy("part", "code").agg(F.sum("n").alias("n"))
+    hot.fill([(r.part, r.code, r.n) for r in followed.collect()])  # 256 for each hot context at most
     tokens = int(asked.where("kind = 'sum'").agg(F.sum("n")).first()[0] or 0)
     train_docs = int(zero[END])
-    answers = common.written(asked.where("kind in ('gram', 'word')").drop("n").groupBy("kind", "part").applyInArrow(lambda t: answer(t, one, zero), "block int, kind string, keys binary, counts binary, n long"), "answers")
+    answers = common.written(asked.where("kind in ('gram', 'word')").drop("n", "code").groupBy("kind", "part").applyInArrow(lambda t: answer(t, one, zero, hot), "block int, kind string, keys binary, counts binary, n long"), "answers")
     distinct = int(answers.where("kind = 'distinct'").agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
     back = answers.where("block >= 0").select("block", "kind", "keys", "counts")
     scored = table.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score_block, SCORES)

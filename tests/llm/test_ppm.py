@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stretto.llm import ppm
@@ -48,7 +50,9 @@ def rows():
     return out + [(200, None), (201, ""), (202, " \t"), (0, out[0][1]), (None, "the null"), (203, "on er" * 3000)]
 
 
-def test_scores_equal_a_plain_trie(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1 / 512, 1 / 40, 0.9])  # nearly all contexts are hot, some, none
+def test_scores_equal_a_plain_trie(spark, monkeypatch, share):
+    monkeypatch.setattr(ppm, "HOT_SHARE", share)
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(ppm, "PIECE", 700)
     given = rows()
@@ -80,3 +84,16 @@ def test_without_training_rows_and_empty(spark):
 def test_probabilities_sum_to_one(spark):
     trie = Trie([b"the cat", b"the hat"], 2)
     assert math.isclose(sum(10 ** trie.log(b"th", b) for b in range(256)), 1.0)
+
+
+def test_a_hot_context_falls_into_many_parts(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd") + rng.choice("uvwxy") + "e " for _ in range(400)) for _ in range(30)]
+    found = ppm.common_contexts(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    hot = ppm.Hot(found)
+    code = int.from_bytes(b"e ", "big")
+    assert code in found[2].tolist() and int.from_bytes(b"ue ", "big") in found[3].tolist()
+    gram, _ = ppm.grams([t.encode() for t in texts])
+    own = (gram >> np.uint64(8)) & np.uint64(0xFFFF) == np.uint64(code)
+    sizes = Counter(ppm.part_of(np.unique(gram[own]), 64, hot).tolist())
+    assert len(sizes) > 15 and max(sizes.values()) < 0.2 * sum(sizes.values())
