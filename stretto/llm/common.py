@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -19,9 +20,12 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is one machine's process
+    (tests) one of our own. A cluster without that setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stretto-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -112,7 +116,7 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def connected(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root): the smallest node that each node of the edge list reaches, by large-star and small-star rounds.
 
     Each round is two aggregations and joins over the links, its result a written table, so a lost executor repeats one
@@ -121,7 +125,7 @@ def connected(edges: DataFrame, left: str, right: str, most_rounds: int = 60) ->
     spark = edges.sparkSession
     now = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         centre = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(centre, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -134,8 +138,6 @@ def connected(edges: DataFrame, left: str, right: str, most_rounds: int = 60) ->
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"links have not settled after {most_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 

@@ -26,7 +26,8 @@ FOLDS = 3
 #: Lengths of word beginnings that are features beside the word; strength of the penalty on weights.
 BEGINNINGS = (4, 5, 6)
 PENALTY = 1.0
-#: Features of a model: those whose documents deviate most from the category's share, of those in so many documents at least.
+#: Features of a model, chosen on the labelled rows: those whose documents deviate most from the category's share, of those in so
+#: many documents at least. A parameter of the fit, not of what is scored.
 CHOSEN, LEAST_DOCS = 4000, 3
 ROUNDS = 40
 CACHE_WORDS = 400_000
@@ -205,9 +206,9 @@ class Chain:
 
 
 def sampled_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = TRAIN_ROWS) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """Features, labels and folds of at most most labelled documents. categories: name to SQL expression over the labels, 0/1."""
+    """Features, labels and folds of at most most labelled rows of docs. categories: name to SQL expression over the labels, 0/1."""
     wanted = labels.where("doc_id is not null").select("doc_id", *[F.expr(e).cast("int").alias(c) for c, e in categories.items()]).dropna()
-    wanted = wanted.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
+    wanted = wanted.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     wanted = wanted.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most)  # bounded, so it may be broadcast
     table = common.text_table(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     labelled = table.join(F.broadcast(wanted), "doc_id")
@@ -218,7 +219,7 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in categories], pa.array([np.array(f, "<i4").tobytes() for f in found], pa.binary())], names=["doc_id", *categories, "found"])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + "".join(f"{c} int, " for c in categories) + "found binary"
-    got = labelled.mapInArrow(run, schema).dropDuplicates(["doc_id", "found"]).limit(2 * most).collect()
+    got = labelled.mapInArrow(run, schema).dropDuplicates(["doc_id", "found"]).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "found").limit(most).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), bytes(r.found)))
     parts = [np.frombuffer(r.found, "<i4") for r in got]
     x = Rows(np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
@@ -238,7 +239,8 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame:
     """doc_id, p_<category> and is_<category> for each category, and the columns keep, for every row of docs.
 
     Null and empty texts have no features: their probabilities are the models' constants. Rows repeat as they are given; an
-    empty table gives an empty result; columns that are not asked for are dropped. Without labels nothing is above a threshold.
+    empty table gives an empty result; columns that are not asked for are dropped, and one of keep that has a name of the result's
+    comes back as own_ and its name. Without labels nothing is above a threshold.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -273,15 +275,15 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame:
                 seen.update(zip(new, range(n, n + len(new))))
             numbers = np.fromiter(map(seen.__getitem__, every), np.int64, len(every))
             p = model.probabilities(list(by_row(table[numbers], ends).T))
-            out = {"doc_id": b.column("doc_id")} | {c: b.column(c) for c in carried}
+            out = {"doc_id": b.column("doc_id")} | {c: b.column(f"kept_{k}") for k, c in enumerate(carried.values())}
             for k, c in enumerate(names):
                 out |= {f"p_{c}": pa.array(p[:, k]), f"is_{c}": pa.array(p[:, k] >= thresholds[k])}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    carried = list(keep)
+    carried = common.own_names(keep, ["doc_id", "text", *[f"{a}_{c}" for a in ("p", "is") for c in names]])
     types = dict(docs.dtypes)
-    table = common.text_table(docs, *carried).select("doc_id", F.col("text").cast("binary").alias("text"), *carried)
-    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{c} {types[c]}" for c in carried], *[f"p_{c} double, is_{c} boolean" for c in names]])
+    table = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(carried)])
+    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{n} {types[c]}" for c, n in carried.items()], *[f"p_{c} double, is_{c} boolean" for c in names]])
     return table.mapInArrow(run, schema)
 
 

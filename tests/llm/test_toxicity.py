@@ -62,3 +62,14 @@ def test_later_models_are_fed_earlier_probabilities():
     p = chain.probabilities([x.margin(w[: 1 << toxicity.BITS]) for w in chain.weights])
     assert ((p[:, 1] > 0.5) == first).all()
     assert chain.unseen.shape == (n, 2)
+
+
+def test_sample_is_of_the_documents_given_and_ordered(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} " + ("bad" if i % 2 else "good"), 0.5) for i in range(200)], "doc_id long, text string, p_toxic double")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(5000)], "doc_id long, quality int, toxic int")
+    x, y, folds = toxicity.sampled_rows(docs, labels, toxicity.CATEGORIES, 100)
+    assert len(y) == 100 and set(y[:, 1].tolist()) == {0, 1}
+    again = toxicity.sampled_rows(docs.repartition(7), labels.repartition(3), toxicity.CATEGORIES, 100)
+    assert x.at.tolist() == again[0].at.tolist() and y.tolist() == again[1].tolist()
+    got = toxicity.score(docs, toxicity.train(docs, labels), keep=["p_toxic"])
+    assert got.columns[1] == "own_p_toxic" and got.where("own_p_toxic <> 0.5").count() == 0
