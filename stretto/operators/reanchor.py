@@ -97,7 +97,7 @@ def shifted(notes: list[dict], track: Track, s: ReanchorSettings) -> None:
 
 
 def apply(expected: DataFrame, frames: DataFrame, hop: float, s: ReanchorSettings = ReanchorSettings()) -> tuple[DataFrame, DataFrame]:
-    """(notes with onset, dur and shift as moved, events). Each shift moves the search of all later notes, so a performance is one group."""
+    """(notes with onset, dur and shift as moved, events to four places). Each shift moves the search of all later notes, so a performance is one group."""
     fields = [f for f in expected.schema.fields if f.name not in ("onset", "dur")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "onset double, dur double, shift double", *[f"{c} double" for c in EVENT]])
 
@@ -110,4 +110,4 @@ def apply(expected: DataFrame, frames: DataFrame, hop: float, s: ReanchorSetting
         return pa.Table.from_pylist(rows, pa.schema([*[pa.field(f.name, notes.schema.field(f.name).type) for f in fields], *[pa.field(c, pa.float64()) for c in ("onset", "dur", "shift", *EVENT)]]))
 
     out = expected.groupBy("perf_id").cogroup(frames.select("perf_id", "t", "midi", "voiced").groupBy("perf_id")).applyInArrow(lambda a, b: run(a, b), schema)
-    return out.drop(*EVENT), out.where("detected is not null")
+    return out.drop(*EVENT), out.where("detected is not null").withColumns({c: F.round(c, 4) for c in EVENT})

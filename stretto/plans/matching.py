@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +144,57 @@ _ZPAIR = f"""with recursive {V.V_FEAT}, c as (select seq_id, idx, unnest(generat
   z as (select st.seq_id as pair, c.seq_id, idx, list((x - m) / s order by c.d) as vec from c join st using (d) where c.seq_id = st.seq_id or (c.seq_id + 9) % 10 = st.seq_id group by all),
   t as (select pair, idx, vec from z where seq_id = pair), q as (select pair, idx - 3 as idx, vec from z where seq_id <> pair and idx between 3 and 10)"""
 
+def _walk_by(key: str, cost: str, t: str, q: str, tag: str, band: bool = False) -> str:
+    """_walk over templates t (key, idx from 0, vec) and queries q (key, idx, vec) of eight frames, as walk_<tag> and ends_<tag>."""
+    body = _walk(cost, band).replace("from t join q using (pair)", f"from {t} t join {q} q using ({key})").replace("from t group by pair) n using (pair) group by t.pair", f"from {t} t group by {key}) n using ({key}) group by t.{key}")
+    body = body.replace("cost as (", f"cost_{tag} as (", 1).replace("join cost c", f"join cost_{tag} c").replace("ends as (", f"ends_{tag} as (").replace("walk(", f"walk_{tag}(").replace("from walk w", f"from walk_{tag} w").replace("from walk where", f"from walk_{tag} where")
+    body = body.replace("select distinct pair from t", f"select distinct {key} from {t}")
+    return re.sub(r"\bpair\b", key, body)
+
+
+def _diverse(ends: str, tag: str, top_k: int, apart: int) -> str:
+    """The cheapest ends whose starts are apart, one after the other."""
+    return f"""picked_{tag}(pair, k, starts, cost, start, "end") as (
+    select pair, 0::bigint, []::bigint[], null::double, null::bigint, null::bigint from (select distinct pair from {ends})
+    union all
+    select p.pair, p.k + 1, list_append(p.starts, e.start), e.cost, e.start, e."end" from picked_{tag} p join {ends} e on e.pair = p.pair
+    where p.k < {top_k} and isfinite(e.cost) and len(list_filter(p.starts, lambda x: abs(x - e.start) < {apart})) = 0 qualify row_number() over (partition by p.pair order by e.cost, e.i) = 1)"""
+
+
+def _standard(t: str, q: str, tag: str) -> str:
+    """t and q by the mean and deviation of t, as st_<tag> and sq_<tag>."""
+    return f"""m_{tag} as (select pair, d, avg(x) as m, case when stddev_pop(x) < 1e-6 then 1.0 else stddev_pop(x) end as s from (select pair, unnest(generate_series(1, len(vec))) as d, unnest(vec) as x from {t}) group by all),
+  st_{tag} as (select pair, idx, list((x - m) / s order by d) as vec from (select pair, idx, unnest(generate_series(1, len(vec))) as d, unnest(vec) as x from {t}) join m_{tag} using (pair, d) group by pair, idx),
+  sq_{tag} as (select pair, idx, list((x - m) / s order by d) as vec from (select pair, idx, unnest(generate_series(1, len(vec))) as d, unnest(vec) as x from {q}) join m_{tag} using (pair, d) group by pair, idx)"""
+
+
+_COSINE = "1 - list_cosine_similarity(t.vec, q.vec)"
+_LOCATE = f"""{PAIR}, near as (select pair, idx - min(idx) over (partition by pair) as idx, min(idx) over (partition by pair) as first, vec from t where pair % 3 > 0 and idx between pair * 2 and pair * 2 + 20),
+  {_standard("near", "q", "n")}, long_n as (select pair from st_n group by pair having count(*) >= 8), tn as (select * from st_n semi join long_n using (pair)), {_walk_by("pair", _COSINE, "tn", "sq_n", "n")}, {_diverse("ends_n", "n", 5, 3)},
+  good as (select pair from picked_n where k = 1 and 1 / (1 + cost / 8) >= 0.35),
+  far as (select * from t anti join good using (pair)), {_standard("far", "q", "f")}, {_walk_by("pair", _COSINE, "st_f", "sq_f", "f")}, {_diverse("ends_f", "f", 5, 3)},
+  found as (select pair, k, 1 / (1 + cost / 8) as score, p.start + first as start, p."end" + first as "end", true as context_used from picked_n p join (select distinct pair, first from near) using (pair) semi join good using (pair) where k > 0
+    union all select pair, k, 1 / (1 + cost / 8), start, "end", false from picked_f where k > 0),
+  best as (select a.*, b.score as second from found a left join found b on b.pair = a.pair and b.k = 2 where a.k = 1),
+  told as (select *, coalesce(score - second <= 0.03, false) as ambiguous from best),
+  note as (select b.pair, arg_min(e.idx, (case when b.start between e.idx and e.idx + 4 then 0 else 1 end, case when b.start between e.idx and e.idx + 4 then 0 else abs(b.start - e.idx) end, e.idx)) as note_id from best b join t e on e.pair = b.pair and e.idx % 4 = 0 group by b.pair)
+  select pair, start, "end", round(score, 6) as score, ambiguous, round(case when ambiguous then greatest(0.0, score - second) else score end, 6) as confidence, context_used, note_id,
+    case when score < 0.35 then 'low confidence: score ' || round(score, 3) end as warning from told join note using (pair)"""
+
+#: Windows at every eighth frame, the 24 most like the query; around each a stretch is warped under a band.
+_REFINE = f"""{_ZPAIR}, n as (select pair, count(*) as n from t group by pair),
+  w as (select t.pair, t.idx - q.idx as start, sum(list_dot_product(t.vec, q.vec)) / ((sqrt(sum(list_dot_product(t.vec, t.vec))) + 1e-8) * (sqrt(sum(list_dot_product(q.vec, q.vec))) + 1e-8)) as score
+    from t join q using (pair) join n using (pair) where t.idx - q.idx between 0 and n.n - 8 and (t.idx - q.idx) % 8 = 0 group by all),
+  cs as (select pair, start, pair * 1000000 + start as cand from w qualify row_number() over (partition by pair order by score desc, start) <= 24),
+  tc as (select cand, t.idx - greatest(0, c.start - 10) as idx, vec from cs c join t on t.pair = c.pair and t.idx >= c.start - 10 and t.idx < c.start + 51), qc as (select cand, idx, vec from cs c join q using (pair)),
+  {_walk_by("cand", "list_distance(t.vec, q.vec)", "tc", "qc", "c", True)},
+  one as (select cand, cost, start as a, "end" as b from ends_c where isfinite(cost) qualify row_number() over (partition by cand order by cost, i) = 1),
+  matched as (select c.pair, greatest(0, c.start - 10) + a as start, greatest(0, c.start - 10) + b as "end", min(cost) / 8 as cost from one join cs c using (cand) group by all)
+  select pair, (row_number() over (partition by pair order by cost, start, "end"))::int as rank, round(cost, 6) as cost, start, "end", round(1 / (1 + cost), 6) as score from matched qualify rank <= 3"""
+
 SQL = {
+    "dtw_topk_diverse": f"{PAIR}, {_walk('list_distance(t.vec, q.vec)')}, {_diverse('ends', 'd', 5, 4)} select pair, k::int as rank, round(cost / 8, 6) as cost, start, \"end\", round(1 / (1 + cost / 8), 6) as score from picked_d where k > 0",
+    "locate": _LOCATE, "coarse_refine": _REFINE,
     "dtw_subsequence": f"{PAIR}, {_walk('list_distance(t.vec, q.vec)')} {_FOUND} qualify row_number() over (partition by pair order by ends.cost, i) = 1",
     "dtw_banded": f"{PAIR}, {_walk('list_distance(t.vec, q.vec)', True)} {_FOUND} qualify row_number() over (partition by pair order by ends.cost, i) = 1",
     "global_match": f"{_ZPAIR}, {_walk('1 - list_cosine_similarity(t.vec, q.vec)')} {_FOUND} where ends.cost <= least * 1.05 + 1e-9 qualify row_number() over (partition by pair order by start, ends.cost) = 1",
