@@ -15,14 +15,15 @@ from .rangejoin import covering
 
 
 def _aligned(templates: DataFrame, queries: DataFrame, stride: int = 1) -> DataFrame:
-    """pair, start, tv, qv: each template frame with the query frame that falls on it when the query begins at start."""
+    """pair, start, m, n, tv, qv: each template frame with the query frame that falls on it when the query begins at start.
+
+    Starts come first, so only frames that fall on each other meet, by pair and place.
+    """
     m = queries.groupBy("pair").agg(F.count("*").alias("m"))
     n = templates.groupBy("pair").agg(F.count("*").alias("n"))
-    met = templates.select("pair", F.col("idx").alias("ti"), F.col("vec").alias("tv")).join(queries.select("pair", F.col("idx").alias("qi"), F.col("vec").alias("qv")), "pair")
-    met = met.withColumn("start", F.col("ti") - F.col("qi")).where(F.col("start") >= 0)
-    if stride > 1:
-        met = met.where(F.col("start") % stride == 0)
-    return met.join(m, "pair").join(n, "pair").where(F.col("start") <= F.col("n") - F.col("m"))
+    starts = n.join(m, "pair").where("n >= m").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("m"), F.lit(stride).cast("long"))))
+    asked = queries.select("pair", F.col("idx").alias("qi"), F.col("vec").alias("qv")).join(starts, "pair").withColumn("ti", F.col("start") + F.col("qi"))
+    return asked.join(templates.select("pair", F.col("idx").alias("ti"), F.col("vec").alias("tv")), ["pair", "ti"])
 
 
 def coarse_scores(templates: DataFrame, queries: DataFrame, stride: int = 8, top_k: int = 20) -> DataFrame:
