@@ -2,8 +2,9 @@
 
 A source that is to give more words than it has gives whole epochs first; what is left of its target it gives by weighted
 sampling without replacement: document i draws the exponential key -ln(u_i) / w_i from a hash of its id, and documents enter in
-the keys' order until the running sum of their words is nearest the budget. No source is sorted in one task: keys fall into
-slices whose sums are added up, and only the slice in which the budget ends is looked at document by document.
+the keys' order until the running sum of their words is nearest the budget. No source is sorted in one task: a source's keys are
+cut at their own quantiles, the sums of the slices are added up, and the slice in which the budget ends is cut again, until few
+documents are left to be looked at one by one.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents of a slice of a source's keys, about.
-SLICE_ROWS = 20_000
+#: Slices that a source's keys are cut into at a time, and documents that are few enough to be sorted.
+SLICES, EDGE_ROWS = 64, 2_000
 #: Sources up to which their table, a few numbers each, is broadcast; parts that a source falls into beyond.
 BROADCAST_SOURCES, SALTS = 20_000, 64
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -38,16 +39,54 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
     s = sources.withColumn("weight", weight).withColumn("bound", F.col("source_size") * F.lit(float(most)))
     rising = Window.orderBy(F.col("bound") / F.col("weight"), "source")
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    rest = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    s = s.withColumn("level", (F.col("budget") - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+    s = s.withColumn("level", (F.col("budget") - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # the level counts where the source itself does not stop below it: the first such one
     s = s.withColumn("open", F.when(F.col("level") * F.col("weight") <= F.col("bound"), F.col("level")))
     s = s.withColumn("level", F.coalesce(F.max("open").over(everything), F.lit(float("inf"))))
     return s.select("source", "source_size", F.least(F.col("bound"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def met(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """rows (doc_id, source, ...) with the columns of their source's row: sent to all tasks while there are few sources, else met
+    under salted keys, so that no source gathers in one task."""
+    per_source = per_source.withColumnRenamed("source", "_w")
+    if per_source.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(per_source), rows.source.eqNullSafe(F.col("_w"))).drop("_w")
+    salted = per_source.withColumn("_salt_w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows.source.eqNullSafe(F.col("_w")) & (F.col("_salt") == F.col("_salt_w"))).drop("_w", "_salt", "_salt_w")
+
+
+def edges(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (source, budget, ...) with lo, hi and before: the budget ends among the keys in (lo, hi], and the documents of keys up
+    to lo have before words. Of keys that many documents share the slice stays whole."""
+    inf = float("inf")
+    state = wanted.withColumn("lo", F.lit(-inf)).withColumn("hi", F.lit(inf)).withColumn("before", F.lit(0).cast("long"))
+    inside, last = sized.select("doc_id", "source", "size", "sort_key"), None
+    quantiles = F.percentile_approx("sort_key", F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)]), F.lit(2000))
+    while True:
+        cuts = common.written(inside.groupBy("source").agg(quantiles.alias("q"), F.count("*").alias("rows")), "cuts")
+        most = cuts.agg(F.max("rows")).first()[0] or 0
+        if most <= EDGE_ROWS or most == last:
+            return state
+        last = most
+        slice_of = F.aggregate("q", F.lit(0), lambda n, x: n + F.when(x < F.col("sort_key"), 1).otherwise(0))
+        sums = met(inside, cuts.drop("rows")).groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
+        placed = sums.withColumn("below", upto - F.col("words")).withColumnRenamed("source", "s")
+        joined = placed.join(state.select(F.col("source").alias("w"), "budget", F.col("before").alias("sofar")), F.col("s").eqNullSafe(F.col("w")))
+        found = joined.where("sofar + below <= budget").groupBy("s").agg(F.max(F.struct("slice", "below")).alias("last"))
+        found = found.join(cuts.select(F.col("source").alias("c"), "q"), F.col("s").eqNullSafe(F.col("c"))).select("s", "last.*", "q")
+        state = state.join(found, state.source.eqNullSafe(found.s), "left").drop("s")
+        bound = lambda k: F.try_element_at("q", k)
+        state = state.withColumn("lo", F.when(F.col("slice") > 0, bound(F.greatest(F.col("slice"), F.lit(1)))).otherwise(F.col("lo")))
+        state = state.withColumn("hi", F.when(F.col("slice") < SLICES - 1, bound(F.col("slice") + 1)).otherwise(F.col("hi")))
+        state = common.written(state.withColumn("before", F.col("before") + F.coalesce("below", F.lit(0))).drop("slice", "below", "q"), "edges")
+        inside = met(sized.select("doc_id", "source", "size", "sort_key"), state.select("source", "lo", "hi")).where("sort_key > lo and sort_key <= hi").drop("lo", "hi")
+
+
 def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (words: copies times size) and the columns keep, per row.
 
@@ -63,33 +102,17 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     sized = table.withColumn("size", size).withColumn("weight", text_quality(F.col("text"), F.col("size"))).drop("text")
     sized = common.written(sized.withColumn("sort_key", -F.log(u) / F.col("weight")).drop("weight"), "sized")
-    slices = max(1, -(-sized.count() // SLICE_ROWS))
-    slice_of = F.floor((F.lit(1.0) - F.exp(-F.col("sort_key"))) * F.lit(slices)).cast("long")
-    sized = sized.withColumn("slice", slice_of)
-    sums = common.written(sized.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
-    wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
+    sums = common.written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
+    wanted = targets(sums, list(weights), share, most)
     wanted = wanted.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("long"))
     wanted = common.written(wanted.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("budget", F.when(F.col("budget") >= 0.5, F.col("budget")).otherwise(0.0)), "targets")
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
-    placed = sums.withColumn("before", upto - F.col("words")).withColumnRenamed("source", "s")
-    last = (
-        placed.join(wanted.select(F.col("source").alias("w"), "budget"), F.col("s").eqNullSafe(F.col("w")))
-        .where("before <= budget").groupBy("s").agg(F.max(F.struct("slice", "before")).alias("last"))
-        .select("s", F.col("last.slice").alias("last_slice"), F.col("last.before").alias("last_before"))
-    )
-    per_source = wanted.join(last, wanted.source.eqNullSafe(last.s), "left").drop("s").withColumnRenamed("source", "w")
-    # a row per source: sent to all tasks while there are few sources, else met under salted keys; no source gathers in one task
-    if wanted.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(per_source), sized.source.eqNullSafe(F.col("w"))).drop("w")
-    else:
-        salted = per_source.withColumn("salt_w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, rows.source.eqNullSafe(F.col("w")) & (F.col("salt") == F.col("salt_w"))).drop("w", "salt", "salt_w")
+    joined = met(sized, edges(sized, wanted))
     running = Window.partitionBy("source").orderBy("sort_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("slice = last_slice").withColumn("after", F.col("last_before") + F.sum("size").over(running))
+    at_edge = (F.col("sort_key") > F.col("lo")) & (F.col("sort_key") <= F.col("hi"))
+    edge = joined.where(at_edge).withColumn("after", F.col("before") + F.sum("size").over(running))
     # in as long as the sum with it is nearer the budget than the sum without it
     edge = edge.withColumn("more", (F.col("after") - F.col("size") / 2 <= F.col("budget")) & (F.col("budget") > 0)).drop("after")
-    rest = joined.where("slice <> last_slice or last_slice is null").withColumn("more", F.coalesce(F.col("slice") < F.col("last_slice"), F.lit(False)))
+    rest = joined.where(~at_edge).withColumn("more", F.col("sort_key") <= F.col("lo"))
     return rest.unionByName(edge).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("more").cast("long")).alias("copies"),
         ((F.col("epochs") + F.col("more").cast("long")) * F.col("size")).alias("taken"), *[F.col(n).alias(names[c]) for c, n in inner.items()],

@@ -33,7 +33,7 @@ def rows(seed):
 
 
 def test_targets_and_taken(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 50)
     given = rows(1)
     docs = spark.createDataFrame([(*r, 1) for r in given], "doc_id long, source string, text string, size int")
     got = mixing.mix(docs).collect()
@@ -59,7 +59,8 @@ def test_targets_and_taken(spark, monkeypatch):
 def test_slices_equal_one_sort(spark, monkeypatch):
     docs = spark.createDataFrame(rows(2), "doc_id long, source string, text string")
     one = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs).collect())
-    monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "SLICES", 4)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs).collect()) == one
 
