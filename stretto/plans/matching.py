@@ -94,15 +94,21 @@ def start_detect(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pair", "started", F.round("template_sec", 6).alias("template_sec"), F.round("detected_sec", 6).alias("detected_sec"), "note_id", "pitch", F.round("onset", 6).alias("onset"))
 
 
-def template_build(spark: SparkSession, sf: str) -> DataFrame:
-    """The coarse frames of templates made of each label's vectors."""
+def _template(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Templates of half a minute made of each label's vectors, with a note for every fifth."""
     seq = V.features(spark, sf)
     events = seq.where("idx % 5 = 0").select("seq_id", F.col("idx").alias("note_id"), F.col("idx").cast("double").alias("start_sec"), (F.col("idx") + 5.0).alias("end_sec"))
     durations = seq.select("seq_id").distinct().withColumn("duration_sec", F.lit(30.0))
-    frames, notes = template.build(seq, events, durations, PitchFeatureSettings(context_sec=0.0))
-    sums = frames.where("kind = 'coarse'").groupBy("template_id").agg(F.count("*").alias("coarse_frames"))
-    ends = notes.groupBy(F.col("seq_id").alias("template_id")).agg(F.round(F.max("end_sec"), 6).alias("last_end"), F.count("*").alias("n_notes"))
-    return sums.join(ends, "template_id")
+    return template.build(seq, events, durations, PitchFeatureSettings(context_sec=0.0))
+
+
+def template_build(spark: SparkSession, sf: str) -> DataFrame:
+    coarse = _template(spark, sf)[0].where("kind = 'coarse'").select("template_id", "idx", F.posexplode("vec").alias("d", "x"))
+    return coarse.select("template_id", "idx", F.col("d").cast("int").alias("d"), F.round("x", 4).alias("x"))
+
+
+def template_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _template(spark, sf)[1].select(F.col("seq_id").alias("template_id"), "note_id", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"))
 
 
 GLOBAL = MatchSettings()
@@ -111,7 +117,7 @@ QUERIES = {
     "coarse_topk": coarse_topk, "rigid_match": _rigid("l2"), "rigid_match_cosine": _rigid("cosine"),
     "dtw_subsequence": _kernel(lambda t, q: matching.best_global(t, q, MatchSettings(metric="l2", margin=0.0, tiebreak="min_cost"))), "dtw_banded": _kernel(lambda t, q: matching.banded(t, q, 0.12)),
     "dtw_topk_diverse": _kernel(lambda t, q: matching.diverse(t, q, 5)), "coarse_refine": _kernel(lambda t, q: matching.coarse_refined(t, q)),
-    "global_match": _kernel(lambda t, q: matching.best_global(*matching.normalized(t, q, "z_score"), GLOBAL)), "locate": locate, "start_detect": start_detect, "template_build": template_build,
+    "global_match": _kernel(lambda t, q: matching.best_global(*matching.normalized(t, q, "z_score"), GLOBAL)), "locate": locate, "start_detect": start_detect, "template_build": template_build, "template_events": template_events,
 }
 
 FEAT = f"with {V.V_FEAT}, c as (select seq_id, idx, unnest(generate_series(0, len(vec) - 1))::int as d, unnest(vec) as x from v_feat)"
@@ -201,7 +207,10 @@ SQL = {
     "start_detect": f"""with {V.V_FEAT}, p as (select distinct seq_id as pair, 12 + seq_id % 3 as first from v_feat)
       select pair, true as started, round(10 * 0.1::double, 6) as template_sec, round(first * 0.1::double, 6) as detected_sec, case when first * 0.1::double - 10 * 0.1::double <= 0.15 then 10 else first // 5 * 5 end as note_id,
         (['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'])[(48 + note_id % 36) % 12 + 1] || ((48 + note_id % 36) // 12 - 1) as pitch, round(first * 0.1::double - 10 * 0.1::double, 6) as onset from p""",
-    "template_build": f"with {V.V_FEAT} select seq_id as template_id, count(*) // 4 as coarse_frames, 30.0::double as last_end, count(*) filter (idx % 5 = 0) as n_notes from v_feat group by seq_id",
+    "template_build": f"""{FEAT}, sm as (select seq_id, idx, d, sum(x) over (partition by seq_id, d order by idx rows between 5 preceding and 5 following) / 11.0 as x from c), nm as (select seq_id, idx, d, x / sqrt(sum(x * x) over (partition by seq_id, idx)) as x from sm),
+      de as (select seq_id, idx, d, x from nm union all select seq_id, idx, d + 64, x - coalesce(lag(x) over (partition by seq_id, d order by idx), x) from nm)
+      select seq_id as template_id, idx // 4 as idx, d::int as d, round(avg(x), 4) as x from de group by seq_id, idx // 4, d having count(*) = 4""",
+    "template_events": f"with {V.V_FEAT}, e as (select seq_id, idx, 30.0::double / max(idx + 5.0) over (partition by seq_id) as scale from v_feat where idx % 5 = 0) select seq_id as template_id, idx as note_id, round(idx * scale, 6)::double as start_sec, round((idx + 5.0) * scale, 6)::double as end_sec from e",
     "smooth": f"{FEAT} select seq_id, idx, d, round(sum(x) over (partition by seq_id, d order by idx rows between 5 preceding and 5 following) / 11.0, 5) as x from c",
     "l2_frames": f"{FEAT} select seq_id, idx, d, round(x / sqrt(sum(x * x) over (partition by seq_id, idx)), 5) as x from c",
     "delta": f"{FEAT}, e as (select seq_id, idx, d, x from c union all select seq_id, idx, d + 64, x - coalesce(lag(x) over (partition by seq_id, d order by idx), x) from c) select seq_id, idx, d::int as d, round(x, 5) as x from e",

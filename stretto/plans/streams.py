@@ -90,10 +90,18 @@ def stft_flux(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pcm_rms_norm(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.load(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    rms = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / F.size("v"))
-    e = e.withColumn("y", F.transform("v", lambda x: x * (F.lit(0.1) / rms)))
-    return e.select("vec_id", F.round(rms, 6).alias("rms"), F.round(F.array_max("y"), 6).alias("peak"))
+    """Embeddings as samples, brought to one level."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = [np.array(v, np.float64) for v in b.column("embedding").to_pylist()]
+            rms, peak = [float(np.sqrt((v**2).mean())) for v in x], [float(audio.rms_normalized(v, 0.1).max()) for v in x]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(rms, pa.float64()), pa.array(peak, pa.float64())], names=["vec_id", "rms", "peak"])
+
+    found = V.load(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, rms double, peak double")
+    return found.select("vec_id", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:

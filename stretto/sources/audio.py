@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 
@@ -90,38 +91,139 @@ def onsets(x: np.ndarray, rate: int = SAMPLE_RATE, size: int = 512) -> np.ndarra
     return pick_peaks(spectral_flux(x, size)) * size / rate
 
 
-def pitch_track(x: np.ndarray, rate: int = SAMPLE_RATE, hop: int = 512, size: int = 2048, center: bool = False, a4: float = 442.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seconds, frequency, voiced) of frames: the first deep dip of the normalised difference function, refined by a parabola."""
-    if center:
-        x = np.pad(x, size // 2)
-    f = framed(x.astype(np.float64), size, hop)
-    low, high = int(rate / F_MAX), int(rate / F_MIN) + 1
-    if not len(f):
-        return np.zeros(0), np.zeros(0), np.zeros(0, bool)
+def normalized_difference(f: np.ndarray, size: int) -> np.ndarray:
+    """The cumulative mean normalised difference of each frame's first half with itself, by lag."""
     half = size // 2
     spectrum = np.fft.rfft(f, 2 * size)
     head = np.fft.rfft(f[:, :half], 2 * size)
-    cross = np.fft.irfft(spectrum * np.conj(head), 2 * size)[:, : half]
+    cross = np.fft.irfft(spectrum * np.conj(head), 2 * size)[:, :half]
     power = np.concatenate([np.zeros((len(f), 1)), np.cumsum(f**2, 1)], 1)
     tau = np.arange(half)
     d = power[:, half][:, None] + (power[:, tau + half] - power[:, tau]) - 2 * cross
     d[:, 0] = 0
     norm = d * tau / np.maximum(np.cumsum(d, 1), 1e-12)
     norm[:, 0] = 1
-    high = min(high, half - 2)
+    return norm
+
+
+def bends(norm: np.ndarray, rows: np.ndarray, lag: np.ndarray) -> np.ndarray:
+    """Where, beside each lag, the parabola through it and its neighbours is least."""
+    y0, y1, y2 = norm[rows, lag - 1], norm[rows, lag], norm[rows, lag + 1]
+    bend = y0 - 2 * y1 + y2
+    shift = np.where(np.abs(bend) > 1e-12, 0.5 * (y0 - y2) / np.where(np.abs(bend) > 1e-12, bend, 1), 0)
+    return np.clip(shift, -1, 1)
+
+
+def pitch_track(x: np.ndarray, rate: int = SAMPLE_RATE, hop: int = 512, size: int = 2048, center: bool = False, a4: float = 442.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seconds, frequency, voiced) of frames: the first deep dip of the normalised difference function, refined by a parabola. A
+    frame's pitch depends on it alone, so live sessions use this."""
+    if center:
+        x = np.pad(x, size // 2)
+    f = framed(x.astype(np.float64), size, hop)
+    low, high = int(rate / F_MAX), int(rate / F_MIN) + 1
+    if not len(f):
+        return np.zeros(0), np.zeros(0), np.zeros(0, bool)
+    norm = normalized_difference(f, size)
+    high = min(high, size // 2 - 2)
     part = norm[:, low : high + 1]
     dip = (part < 0.15) & (part <= np.roll(part, -1, 1)) & (part <= np.roll(part, 1, 1))
     first = np.where(dip.any(1), dip.argmax(1), part.argmin(1)) + low
     rows = np.arange(len(f))
-    depth = norm[rows, first]
-    y0, y1, y2 = norm[rows, first - 1], depth, norm[rows, first + 1]
-    bend = y0 - 2 * y1 + y2
-    shift = np.where(np.abs(bend) > 1e-12, 0.5 * (y0 - y2) / np.where(np.abs(bend) > 1e-12, bend, 1), 0)
-    hz = rate / (first + np.clip(shift, -1, 1))
-    voiced = (depth < 0.2) & (np.sqrt((f**2).mean(1)) > 1e-3)
+    hz = rate / (first + bends(norm, rows, first))
+    voiced = (norm[rows, first] < 0.2) & (np.sqrt((f**2).mean(1)) > 1e-3)
     return rows * hop / rate, hz, voiced
 
 
+# Fixed values of probabilistic pitch tracking: thresholds and their prior (beta with 2 and 18), the weight of earlier dips, what a
+# frame without a dip is worth, bins of a semitone, octaves a second that a pitch may move, and the chance to begin or end a tone.
+THRESHOLDS, DIP_DECAY, NO_DIP, BINS, OCTAVES, SWITCH = 100, 2.0, 0.01, 10, 35.92, 0.01
+#: Frames of a stretch that is decoded at once.
+STRETCH = 4096
+
+
+def threshold_prior() -> np.ndarray:
+    """The mass of each threshold's interval under the beta distribution, as a binomial tail."""
+    edges = np.linspace(0, 1, THRESHOLDS + 1)
+    tail = lambda v: sum(math.comb(19, j) * v**j * (1 - v) ** (19 - j) for j in range(2, 20))
+    return np.diff(tail(edges))
+
+
+def pitch_candidates(norm: np.ndarray, low: int, high: int, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame, frequency, probability): the dips that some threshold would choose, weighed by the thresholds' prior."""
+    part, prior = norm[:, low : high + 1], threshold_prior()
+    levels = np.linspace(0, 1, THRESHOLDS + 1)[1:]
+    dip = np.zeros(part.shape, bool)
+    dip[:, 1:-1] = (part[:, 1:-1] < part[:, :-2]) & (part[:, 1:-1] <= part[:, 2:])
+    dip[:, 0] = part[:, 0] < part[:, 1]
+    frames, hz, weight = [], [], []
+    for k in range(len(part)):
+        at = np.flatnonzero(dip[k])
+        if not len(at):
+            continue
+        under = part[k, at][:, None] < levels[None, :]
+        place, n = np.cumsum(under, 0) - 1, under.sum(0)
+        share = (1 - math.exp(-DIP_DECAY)) * np.exp(-DIP_DECAY * place) / (1 - np.exp(-DIP_DECAY * np.maximum(n, 1)))
+        p = (np.where(under, share, 0.0) * prior).sum(1)
+        p[part[k, at].argmin()] += NO_DIP * prior[n == 0].sum()
+        some = p > 0
+        frames.append(np.full(int(some.sum()), k))
+        lag = at[some] + low
+        hz.append(rate / (lag + bends(norm, np.full(len(lag), k), lag)))
+        weight.append(p[some])
+    return tuple(np.concatenate([*c, np.zeros(0, t)]) for c, t in ((frames, np.int64), (hz, float), (weight, float)))
+
+
+def decoded(observed: np.ndarray, width: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(the likeliest state of each frame, the states' scores after the last): pitches move by a triangle of width bins, tones begin
+    and end with chance SWITCH. observed: frames by states, the voiced half first."""
+    n = observed.shape[1] // 2
+    reach = width // 2
+    shape = 1.0 - np.abs(np.arange(-reach, reach + 1)) / (reach + 1)
+    total = np.convolve(np.ones(n), shape, "same")
+    log = np.log(np.maximum(observed, 1e-300)).reshape(len(observed), 2, n)
+    moves, stay, go = np.log(shape), math.log(1 - SWITCH), math.log(SWITCH)
+    score = np.full((2, n), -math.log(2 * n)) + log[0] if before is None else before
+    came = np.zeros((len(observed), 2, n), np.int32)
+    for k in range(0 if before is not None else 1, len(observed)):
+        padded = np.pad(score - np.log(total), ((0, 0), (reach, reach)), constant_values=-np.inf)
+        reached = np.lib.stride_tricks.sliding_window_view(padded, width, 1) + moves
+        best = reached.argmax(2)
+        value = np.take_along_axis(reached, best[:, :, None], 2)[:, :, 0]
+        source = best + np.arange(n) - reach
+        kept, other = value + stay, value[::-1] + go
+        swap = other > kept
+        score = np.where(swap, other, kept) + log[k]
+        half = np.array([0, 1])[:, None]
+        came[k] = np.where(swap, source[::-1] + (1 - half) * n, source + half * n)
+    states = np.zeros(len(observed), np.int64)
+    states[-1] = score.ravel().argmax()
+    for k in range(len(observed) - 1, 0, -1):
+        states[k - 1] = came[k].ravel()[states[k]]
+    return states, score
+
+
+def probable_pitch_track(x: np.ndarray, rate: int = SAMPLE_RATE, hop: int = 512, size: int = 2048, center: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seconds, frequency, voiced) of frames by probabilistic difference tracking: all dips that a threshold may choose are candidates,
+    and the likeliest path through them is taken. A recording is decoded in stretches, each of which goes on from the one before."""
+    if center:
+        x = np.pad(x, size // 2)
+    f = framed(x.astype(np.float64), size, hop)
+    low, high = int(rate / F_MAX), min(int(math.ceil(rate / F_MIN)), size // 2 - 2)
+    bins = int(12 * BINS * math.log2(F_MAX / F_MIN)) + 1
+    width = 2 * (int(round(OCTAVES * 12 * hop / rate)) * BINS // 2) + 1
+    hz, voiced, score = np.zeros(len(f)), np.zeros(len(f), bool), None
+    for i in range(0, len(f), STRETCH):
+        own = f[i : i + STRETCH]
+        frame, found, weight = pitch_candidates(normalized_difference(own, size), low, high, rate)
+        place = np.clip(np.rint(12 * BINS * np.log2(found / F_MIN)), 0, bins - 1).astype(np.int64)
+        observed = np.zeros((len(own), 2 * bins))
+        np.add.at(observed, (frame, place), weight)
+        observed[:, bins:] = ((1 - np.clip(observed[:, :bins].sum(1), 0, 1)) / bins)[:, None]
+        states, score = decoded(observed, width, score)
+        hz[i : i + len(own)], voiced[i : i + len(own)] = F_MIN * 2 ** (states % bins / (12 * BINS)), states < bins
+    return np.arange(len(f)) * hop / rate, hz, voiced & (np.sqrt((f**2).mean(1)) > 1e-3 if len(f) else voiced)
+
+
 def rms_normalized(x: np.ndarray, target: float = 0.1, peak: float | None = None) -> np.ndarray:
     level = np.sqrt((x**2).mean()) if len(x) else 0.0
     x = x * (target / level) if level > 1e-8 else x
@@ -241,11 +343,12 @@ def read_recordings(spark: SparkSession, paths: str, rate: int = SAMPLE_RATE) ->
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "perf_id string, pcm binary, sample_rate int")
 
 
-def pitch_frames(recordings: DataFrame, hop: int = 512, center: bool = False, a4: float = 442.0) -> DataFrame:
-    """perf_id, frame_idx, t, frequency_hz, midi, voiced; an unvoiced frame has no frequency and midi -1."""
+def pitch_frames(recordings: DataFrame, hop: int = 512, center: bool = False, a4: float = 442.0, probable: bool = True) -> DataFrame:
+    """perf_id, frame_idx, t, frequency_hz, midi, voiced; an unvoiced frame has no frequency and midi -1. probable: the likeliest path
+    over all frames, or else each frame by itself, as live sessions hear it."""
 
     def rows(x: np.ndarray, rate: int) -> list:
-        t, hz, voiced = pitch_track(x, rate, hop, center=center)
+        t, hz, voiced = (probable_pitch_track if probable else pitch_track)(x, rate, hop, center=center)
         return [np.arange(len(t)), t, pa.array(hz, mask=~voiced), np.where(voiced, 69 + 12 * np.log2(np.maximum(hz, 1e-9) / a4), -1.0), voiced]
 
     schema = pa.schema([("perf_id", pa.string()), ("frame_idx", pa.int64()), ("t", pa.float64()), ("frequency_hz", pa.float64()), ("midi", pa.float64()), ("voiced", pa.bool_())])
