@@ -288,7 +288,8 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, chain: Chain, category: str = "toxic") -> DataFrame:
-    """The rows of docs, with all their columns, that the chain does not put into category."""
+    """The rows of docs, with all their columns, that the chain does not put into category. Null and empty texts have the models'
+    constants, so they stay unless most labelled rows are of that category; repeated rows stay or go alike; an empty table stays."""
     names = [f"own_{k}" for k in range(len(docs.columns))]
     carried = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(docs.columns, names)])
     return score(carried, chain, names).where(~F.col(f"is_{category}")).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
