@@ -104,7 +104,7 @@ def test_reanchor(spark):
     rows = {r.ord: r for r in moved.collect()}
     event = events.collect()
     assert len(event) == 1 and abs(event[0].event_shift - 0.2) < 0.08 and event[0].rest_start < 0.45
-    assert rows[0].dur < 0.45 and abs(rows[2].onset - 1.5 - event[0].event_shift) < 1e-9
+    assert rows[0].dur < 0.45 and abs(rows[2].onset - 1.5 - event[0].event_shift) < 1e-4
     still, none = reanchor.apply(expected, frames, HOP, reanchor.ReanchorSettings(enabled=False))
     assert none.count() == 0 and {r.onset for r in still.collect()} == {0.0, 1.0, 1.5}
 
