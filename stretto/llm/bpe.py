@@ -43,6 +43,14 @@ class Recent:
             self.young[key] = found
         return found
 
+    def absent(self, keys: list) -> list:
+        """Those of keys that have no entry, each once; the entries of the others are then in the young table."""
+        young, old = self.young, self.old
+        missing = set(keys).difference(young)
+        back = missing.intersection(old) if old else ()
+        young.update(zip(back, map(old.__getitem__, back)))
+        return list(missing.difference(back))
+
     def age(self) -> None:
         """Between batches, so that what a batch has looked up is still there at its end."""
         if len(self.young) > self.size:
@@ -285,9 +293,8 @@ def encoder_words(path: str, pattern: str) -> Words:
         known.age()
         encoder.age()
         pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
-        for p in dict.fromkeys(pieces):
-            if known.get(p) is None:
-                known.young[p] = packed(encoder.piece(p.encode()))
+        for p in known.absent(pieces):
+            known.young[p] = packed(encoder.piece(p.encode()))
         return by_word(words, pieces, list(map(known.young.__getitem__, pieces)))
 
     return Words(encode, pattern)
@@ -327,7 +334,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_decoded: boo
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_documents' rows, by SQL functions."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_documents' rows, by SQL functions. No ids are an empty string; rows that
+    repeat are rows, an empty table gives an empty result."""
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

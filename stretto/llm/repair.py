@@ -12,6 +12,7 @@ ids, first nonterminal); rules (2 x uint32 each); rules' lengths (uint32); docum
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,9 @@ SHARD_IDS, ROUND_RULES = 1_200_000, 8192
 #: A rule takes 12 bytes and each use of it saves a symbol's three, so rarer pairs do not pay.
 LEAST_COUNT = 4
 #: Bytes of a worker's table of words and pieces of a generation; larger than elsewhere, as nothing else is held beside it.
-WORD_BYTES, PIECES = 128 << 20, 300_000
+WORD_BYTES, PIECES = 128 << 20, 250_000
+#: Input bytes of a range of doc_ids, at most, about.
+RANGE_BYTES = 16 << 20
 #: Parts whose sums of ids are added up in one task.
 PARTS = 4096
 END = 0
@@ -45,45 +48,42 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray,
     Rounds follow one another until no pair occurs LEAST_COUNT times, or symbols would take more than three bytes.
     """
     seq = seq.astype(np.int64)
-    whole = np.ones(len(seq), bool)  # whether a symbol may pair with the one before it
-    whole[breaks[breaks < len(seq)]] = False
+    starts = np.unique(breaks[breaks < len(seq)])
     rules: list[np.ndarray] = []
-    made = base
+    made, factor, shift = base, np.uint64(0x9E3779B97F4A7C15), np.uint64(49)
     while len(seq) > 1:
         key = (seq[:-1] << 24) | seq[1:]
-        ok = whole[1:]
-        k = np.sort(key[ok])
-        if not len(k):
-            break
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        count = np.diff(np.r_[edge, len(k)])
-        often = np.flatnonzero(count >= LEAST_COUNT)
+        key[starts[starts > 0] - 1] = -1  # what lies over a border is no pair
+        k = np.sort(key)
+        edge = np.flatnonzero(k[1:] != k[:-1]) + 1
+        edge = np.concatenate([[0], edge])
+        count = np.diff(edge, append=len(k))
+        often = np.flatnonzero((count >= LEAST_COUNT) & (k[edge] >= 0))
         if len(often) > ROUND_RULES:
             often = often[np.argsort(-count[often], kind="stable")[:ROUND_RULES]]
-        chosen = np.sort(k[edge[often]])
-        chosen = chosen[: (1 << 24) - made]
+        chosen = np.sort(k[edge[often]])[: (1 << 24) - made]
         if not len(chosen):
             break
         # one slot for each hash: of pairs that share one, one waits for the next round
-        bits = np.uint64(49)
-        slot = ((chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)
-        slots = np.full(1 << 15, -1, np.int64)
-        slots[slot] = np.arange(len(chosen))
+        slots = np.full(1 << 15, -1, np.int32)
+        slots[((chosen.view(np.uint64) * factor) >> shift).view(np.int64)] = np.arange(len(chosen), dtype=np.int32)
         chosen = chosen[np.sort(slots[slots >= 0])]
-        slot = ((chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)
-        slots[slot] = np.arange(len(chosen))
-        at = slots[((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)]
-        hit = np.flatnonzero((chosen[at] == key) & (at >= 0) & ok)
+        slots[:] = 0
+        slots[((chosen.view(np.uint64) * factor) >> shift).view(np.int64)] = np.arange(len(chosen), dtype=np.int32)
+        place = key.view(np.uint64) * factor
+        place >>= shift
+        at = slots[place.view(np.int64)]
+        hit = np.flatnonzero(chosen[at] == key)
         # of pairs that overlap in a row every second is taken
-        run = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
-        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))) & 1 == 0]
+        run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))) & 1 == 0]
         seq[hit] = made + at[hit]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, whole = seq[keep], whole[keep]
+        seq = seq[keep]
+        starts -= np.searchsorted(hit, starts)  # each hit before a start took one symbol away
         rules.append(np.stack([chosen >> 24, chosen & 0xFFFFFF], 1))
         made += len(chosen)
-    starts = np.flatnonzero(~whole)
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -185,7 +185,7 @@ def library_words(path: str, pattern: str) -> bpe.Words:
     def pieces_of(words: list[str], plain: bool) -> list[str]:
         """The words' pieces, known from now on. Plain words, in a row, fall into the same pieces as apart."""
         pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
-        fresh = [p for p in dict.fromkeys(pieces) if known.get(p) is None]
+        fresh = known.absent(pieces)
         if plain:  # no NUL among them
             names = "\0".join(fresh).encode().decode("latin-1").translate(but_nul).split("\0")
         else:
@@ -227,6 +227,12 @@ class Library:
         return out, np.concatenate([[0], np.cumsum(n)])
 
 
+@functools.lru_cache(maxsize=1)
+def library(path: str, pattern: str) -> Library:
+    """A worker's next task goes on with the tables, which are bounded by bytes: to fill them anew costs a fifth of the time."""
+    return Library(path, pattern)
+
+
 def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     """Encodes every whole text, ends each document with id 0, and writes shards of ascending doc_id as Parquet rows to target.
 
@@ -239,7 +245,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     base = Tokenizer.from_file(path).get_vocab_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Library(path, pattern)
+        words = library(path, pattern)
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -270,10 +276,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
                     yield close()
         if held:
             yield close()
-        del words
-        common.give_back()
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.blocks(docs, 16 << 20))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.blocks(docs, RANGE_BYTES))
     table = common.text_table(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.col("doc_id").asc_nulls_last()
     ranged = table.repartitionByRange(n, order).sortWithinPartitions(order, "text")
