@@ -9,7 +9,7 @@ from ..functions.config import JudgeSettings
 from ..operators import onset, reanchor
 from ..operators.assign import assign
 from ..operators.rangejoin import join_times
-from ..operators.recognize import pitch_medians, recognize, summarize
+from ..operators.recognize import pitch_medians, recognize_heard, summarize
 from ..operators.rhythm import judge, onset_check, trimmed_counts, windows
 from . import views as V
 
@@ -62,7 +62,7 @@ def _judged(mode: str):
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return recognize(V.expected(spark, sf), V.onsets(spark, sf), V.frames(spark, sf), hop=HOP)
+    return recognize_heard(V.expected(spark, sf), V.heard(spark, sf), hop=HOP)
 
 
 def recognize_query(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ stay whole numbers until the last step, which makes the two engines agree to the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNIT, HOP = 0.05, 0.1
@@ -49,26 +49,51 @@ V_EXPECTED = """v_expected as (
   select perf_id, ord, onset, dur, pitch_midi as midi, measure, row_number() over (partition by perf_id, measure order by ord) as idx, 120.0::double as tempo from v_notes where not is_rest)"""
 
 
+def _shift() -> Column:
+    return ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 41 - 20).cast("double") / F.lit(100.0)
+
+
 def onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """perf_id, t: detected onsets, some missing, none exact."""
     n = notes(spark, sf_dir).where(~F.col("is_rest") & (F.col("l_partkey") % 17 != 0))
-    shift = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 41 - 20).cast("double") / F.lit(100.0)
-    return n.select("perf_id", (F.col("onset") + shift).alias("t"))
+    return n.select("perf_id", (F.col("onset") + _shift()).alias("t"))
 
 
 V_ONSETS = """v_onsets as (
   select perf_id, onset + ((l_orderkey * 7919 + l_linenumber * 104729) % 41 - 20)::double / 100.0::double as t from v_notes where not is_rest and l_partkey % 17 <> 0)"""
 
 
+def _frames(n: DataFrame) -> DataFrame:
+    """The notes that have frames, with the first and the last of their numbers."""
+    first, last = F.ceil(F.col("cum") / 2).cast("long"), (F.ceil((F.col("cum") + F.col("q")) / 2) - 1).cast("long")
+    return n.where(~F.col("is_rest")).withColumn("first", first).withColumn("last", last)
+
+
+def _frame(k: Column) -> tuple[Column, Column]:
+    """(midi, voiced) of a note's frame."""
+    off = F.when((F.col("l_orderkey") + k) % 7 == 0, 2.0).when((F.col("l_orderkey") + k) % 5 == 0, 0.4).otherwise(0.0)
+    voiced = (F.col("l_partkey") + k * 3) % 11 != 0
+    return F.when(voiced, F.col("pitch_midi") + off).otherwise(-1.0), voiced
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """perf_id, frame_idx, t, midi, voiced at a hop of two units: what a pitch tracker might have heard."""
-    n = notes(spark, sf_dir).where(~F.col("is_rest"))
-    first, last = F.ceil(F.col("cum") / 2).cast("long"), (F.ceil((F.col("cum") + F.col("q")) / 2) - 1).cast("long")
-    n = n.withColumn("first", first).withColumn("last", last).where("last >= first")
+    n = _frames(notes(spark, sf_dir)).where("last >= first")
     f = n.select("perf_id", "pitch_midi", "l_orderkey", "l_partkey", F.explode(F.sequence("first", "last")).alias("frame_idx"))
-    off = F.when((F.col("l_orderkey") + F.col("frame_idx")) % 7 == 0, 2.0).when((F.col("l_orderkey") + F.col("frame_idx")) % 5 == 0, 0.4).otherwise(0.0)
-    voiced = (F.col("l_partkey") + F.col("frame_idx") * 3) % 11 != 0
-    return f.select("perf_id", "frame_idx", (F.col("frame_idx") * F.lit(HOP)).alias("t"), F.when(voiced, F.col("pitch_midi") + off).otherwise(-1.0).alias("midi"), voiced.alias("voiced"))
+    midi, voiced = _frame(F.col("frame_idx"))
+    return f.select("perf_id", "frame_idx", (F.col("frame_idx") * F.lit(HOP)).alias("t"), midi.alias("midi"), voiced.alias("voiced"))
+
+
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """perf_id, onset, frames: the rows of onsets and frames by note, so that they stay where their notes are."""
+    n = _frames(notes(spark, sf_dir))
+
+    def frame(k: Column) -> Column:
+        midi, voiced = _frame(k)
+        return F.struct(k.alias("frame_idx"), (k * F.lit(HOP)).alias("t"), midi.alias("midi"), voiced.alias("voiced"))
+
+    found = F.when(F.col("l_partkey") % 17 != 0, F.col("onset") + _shift())
+    return n.select("perf_id", found.alias("onset"), F.when(F.col("last") >= F.col("first"), F.transform(F.sequence("first", "last"), frame)).alias("frames"))
 
 
 V_FRAMES = """v_frames as (
