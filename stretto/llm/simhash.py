@@ -29,6 +29,8 @@ PLAN_SAMPLE = 2048
 PART = 4096
 #: Large groups, a key and a count each, up to which their list is broadcast; beyond, probes meet it by a shuffle.
 BROADCAST_GROUPS = 100_000
+#: Bits of 64 within which two fingerprints link.
+LINK_TAU = 3
 #: A probe's cost in compared pairs.
 PROBE_COST = 60.0
 WORDS = ("fp", "w1", "w2", "w3")
@@ -269,7 +271,7 @@ def links(classes: DataFrame, tau: int = 3, wide: int | None = None, keys: Colum
     return together.mapInArrow(lambda batches: verified(batches, tau, wide), "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 3, wide: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = LINK_TAU, wide: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) for every row of docs.
 
     Fingerprints link within tau bits; with wide, 256-bit fingerprints of the same shingles must also be within so many bits,
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 3, wide: int |
 
 #: Bands of least hashes, and least hashes in each: a pair of Jaccard similarity 0.8 shares no band with probability 3e-6.
 BANDS, BAND_ROWS = 24, 4
-#: Bits of 64 and of 256 within which such a pair falls but with probability 4e-7, or 5e-5 for texts of five shingles: the
+#: Bits of 64 and of 256 within which a pair that bands propose falls but with probability 4e-7, or 5e-5 for texts of five shingles: the
 #: fingerprints are of distinct shingles, their bits differ with probability 0.152, or 0.188 there.
 ALIKE_TAU, ALIKE_WIDE = 26, 74
 #: Shingles of a part of a group of candidates, about; larger groups are cut, and each two parts are compared.
@@ -407,13 +409,17 @@ def alike_links(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame
 def alike_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_key, row_key and root (the same in all of a group) for every row: texts of Jaccard similarity 0.8 or more link.
 
-    Least hashes in bands propose, 256 bits of fingerprint drop what is far from alike, and what is then connected is compared by
-    its shingles. Texts without words, null ones too, are one group.
+    The pigeonhole principle proposes what is within LINK_TAU bits of 64, as in near_duplicates. Texts of similarity 0.8 are
+    further apart than partitions of bits can tell, so least hashes in bands propose these as well, and 256 bits of fingerprint
+    drop what is far from alike. What is then connected is compared by its shingles. Texts without words, null ones too, are one
+    group.
     """
     prints = common.written(sketches(docs, shingle), "prints")
     classes = prints.groupBy("id").agg(*[F.first(c).alias(c) for c in (*WORDS, "bands", "n")], F.min("text_key").alias("text_key"))
     classes = common.written(classes, "classes")
-    near = common.connected(links(classes.where("n > 0"), ALIKE_TAU, ALIKE_WIDE, F.col("bands")), "x", "y")
+    worded = classes.where("n > 0")
+    near = links(worded, LINK_TAU).unionByName(links(worded, ALIKE_TAU, ALIKE_WIDE, F.col("bands")))
+    near = common.connected(near, "x", "y")
     near = near.union(near.select("root", "root")).distinct()
     members = common.written(classes.join(near, classes.id == near.node).select("id", "text_key", "n", "root"), "members")
     roots = common.connected(alike_links(docs.select(text_key(), F.coalesce("text", F.lit("")).alias("text")), members, shingle), "x", "y")
