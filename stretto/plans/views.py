@@ -19,14 +19,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """perf_id, ord, q, cum (whole units), dur, onset, pitch_midi, measure, is_rest, keyed rows of all pieces."""
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    rows = load(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("ord"), F.col("l_quantity").cast("long").alias("q")
-    )
+    is_rest = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    rows = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", is_rest.alias("is_rest"))
+    # dealt here, so that what is derived is not shuffled, and tables that need different columns of it share one shuffle
+    rows = rows.repartition("l_suppkey").withColumn("ord", F.row_number().over(order)).withColumn("q", F.col("l_quantity").cast("long"))
     rows = rows.withColumn("cum", F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("q"))
     return rows.select(
         F.col("l_suppkey").alias("perf_id"), F.col("ord").cast("long").alias("ord"), "q", "cum", (F.col("q") * F.lit(UNIT)).alias("dur"), (F.col("cum") * F.lit(UNIT)).alias("onset"),
         (F.lit(48) + F.col("l_partkey") % 36).cast("double").alias("pitch_midi"), (F.floor(F.col("cum") / 40) + 1).cast("long").alias("measure"),
-        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("is_rest"), "l_orderkey", "l_linenumber", "l_partkey",
+        "is_rest", "l_orderkey", "l_linenumber", "l_partkey",
     )
 
 

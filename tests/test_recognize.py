@@ -69,6 +69,18 @@ def test_frames_are_not_shuffled(spark, name):
     assert len(scans) == 1  # both sides read the same columns, so the one shuffle of the notes serves both
 
 
+def test_summary_shuffles_the_notes_once_and_no_more_of_them_than_it_needs(spark):
+    rows = performance.recognize_summary(spark, SF)
+    rows.collect()
+    lines = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    dealt = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(l_suppkey" in line]
+    assert sum("ReusedExchange" not in lines[k] for k in dealt) == 1 and sum("ReusedExchange" in line for line in lines) == 1
+    project = next(line for line in lines[dealt[0] :] if "Project [" in line)
+    sent = re.findall(r"(\w+)#\d+L?(?:,|\]$)", re.sub(r"[^,]* AS ", "", project))
+    assert set(sent) == {"l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "is_rest"}
+    assert not any("row_number() windowspecdefinition(perf_id" in line for line in lines)  # a measure's numbers bear on no total
+
+
 def test_empty_tables(spark):
     expected, onsets, frames = tables(spark)
     assert recognize(expected.limit(0), onsets, frames, hop=HOP).count() == 0
