@@ -47,7 +47,7 @@ class Recent:
         """Those of keys that have no entry, each once; the entries of the others are then in the young table."""
         young, old = self.young, self.old
         missing = set(keys).difference(young)
-        back = missing.intersection(old) if old else ()
+        back = old.keys() & missing if old else ()  # goes through the shorter of the two
         young.update(zip(back, map(old.__getitem__, back)))
         return list(missing.difference(back))
 

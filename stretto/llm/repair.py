@@ -45,20 +45,29 @@ END = 0
 def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, where each break is now, rules). breaks: positions at which a document begins; no pair reaches over one.
 
-    Rounds follow one another until no pair occurs LEAST_COUNT times, or symbols would take more than three bytes.
+    Rounds follow one another until no pair occurs LEAST_COUNT times, or symbols would take more than three bytes. A round looks at
+    the pairs that can be frequent only: no round makes a pair of older symbols more frequent, so what was rare once stays so.
     """
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.int32)
     starts = np.unique(breaks[breaks < len(seq)])
     rules: list[np.ndarray] = []
     made, factor, shift = base, np.uint64(0x9E3779B97F4A7C15), np.uint64(49)
+    live = np.ones(max(len(seq) - 1, 0), bool)  # by the place of a pair's first symbol
     while len(seq) > 1:
-        key = (seq[:-1] << 24) | seq[1:]
-        key[starts[starts > 0] - 1] = -1  # what lies over a border is no pair
+        live[starts[starts > 0] - 1] = False  # what lies over a border is no pair
+        where = np.flatnonzero(live)
+        key = (seq[where].astype(np.int64) << 24) | seq[where + 1]
+        place = key.view(np.uint64) * factor
+        # a bucket holds all of a pair's places, so those of a scant bucket hold rare pairs
+        bits = min(20, max(15, len(key).bit_length()))
+        bucket = (place >> np.uint64(64 - bits)).view(np.int64)
+        full = np.bincount(bucket, minlength=1 << bits)[bucket] >= LEAST_COUNT
+        live[where] = full
+        where, key, place = where[full], key[full], place[full]
         k = np.sort(key)
-        edge = np.flatnonzero(k[1:] != k[:-1]) + 1
-        edge = np.concatenate([[0], edge])
+        edge = np.flatnonzero(np.diff(k, prepend=-1))
         count = np.diff(edge, append=len(k))
-        often = np.flatnonzero((count >= LEAST_COUNT) & (k[edge] >= 0))
+        often = np.flatnonzero(count >= LEAST_COUNT)
         if len(often) > ROUND_RULES:
             often = often[np.argsort(-count[often], kind="stable")[:ROUND_RULES]]
         chosen = np.sort(k[edge[often]])[: (1 << 24) - made]
@@ -70,18 +79,22 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray,
         chosen = chosen[np.sort(slots[slots >= 0])]
         slots[:] = 0
         slots[((chosen.view(np.uint64) * factor) >> shift).view(np.int64)] = np.arange(len(chosen), dtype=np.int32)
-        place = key.view(np.uint64) * factor
         place >>= shift
         at = slots[place.view(np.int64)]
-        hit = np.flatnonzero(chosen[at] == key)
+        found = np.flatnonzero(chosen[at] == key)
+        hit, at = where[found], at[found]
         # of pairs that overlap in a row every second is taken
         run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
-        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))) & 1 == 0]
-        seq[hit] = made + at[hit]
+        second = (np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))) & 1 == 0
+        hit = hit[second]
+        seq[hit] = made + at[second]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
+        seq, live = seq[keep], np.append(live, False)[keep]
         starts -= np.searchsorted(hit, starts)  # each hit before a start took one symbol away
+        fresh = hit - np.arange(len(hit))  # where the new symbols are now; pairs with them on either side are new
+        live[fresh], live[np.maximum(fresh - 1, 0)] = True, True
+        live = live[:-1]
         rules.append(np.stack([chosen >> 24, chosen & 0xFFFFFF], 1))
         made += len(chosen)
     return seq, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)

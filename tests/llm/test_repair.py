@@ -75,3 +75,20 @@ def test_shards_hold_what_the_library_encodes(spark, monkeypatch, tmp_path):
     repair.write_shards(docs.limit(0), PATH, P.PATTERN, target + "-empty")
     empty = spark.read.schema(shards.schema).parquet(target + "-empty")
     assert repair.positions(empty, repair.read_shards(empty)).count() == 0
+
+
+def test_rounds_sort_only_pairs_that_can_be_frequent(monkeypatch):
+    rng = np.random.default_rng(3)
+    phrase = rng.integers(1, 500, 64)  # doubles its nonterminals' lengths round by round, amid ids that hardly repeat
+    seq = np.concatenate([np.r_[phrase, rng.integers(500, 60_000, 1000)] for _ in range(60)]).astype(np.uint32)
+    breaks = np.arange(0, len(seq), 5320)
+    sorted_keys, sort = [], np.sort
+    monkeypatch.setattr(repair.np, "sort", lambda x, *a, **k: sorted_keys.append(len(x)) or sort(x, *a, **k))
+    symbols, starts, rules = repair.grammar(seq, breaks, 60_000)
+    monkeypatch.undo()
+    assert len(sorted_keys) > 9 and sum(sorted_keys) < len(seq)  # every round used to sort all that was left
+    off = np.r_[breaks, len(seq)]
+    assert np.array_equal(repair.Shard(repair.shard(list(range(len(breaks))), seq, off, 60_000)).expand(symbols.astype(np.uint32)), seq)
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[starts[1:] - 1] = False
+    assert np.unique((symbols[:-1].astype(np.int64) << 24 | symbols[1:])[inside], return_counts=True)[1].max() < repair.LEAST_COUNT
