@@ -188,6 +188,14 @@ BEFORE_SPACE, AFTER_SPACE = ("a", "1", "!", "é", "漢", "a's", "½"), (" a", "
 RUN = f"{SPACE}{SPACE}|\\A{SPACE}|{SPACE}\\z|\\x00"
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern, which has to part at single spaces."""
+    found = regex.compile(pattern)
+    if any(found.findall(a + b) != found.findall(a) + found.findall(b) for a in BEFORE_SPACE for b in AFTER_SPACE):
+        raise ValueError("the pattern joins what single spaces part")
+    return found
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as bytes: small, and nothing for the garbage collector to walk through."""
     return array("I", ids).tobytes()
@@ -211,9 +219,7 @@ class Words:
 
     def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], pattern: str, size: int = WORD_BYTES):
         self.encode, self.size = encode, size
-        self.pattern = regex.compile(pattern)
-        if any(self.pattern.findall(a + b) != self.pattern.findall(a) + self.pattern.findall(b) for a in BEFORE_SPACE for b in AFTER_SPACE):
-            raise ValueError("the pattern joins what single spaces part")
+        self.pattern = splitter(pattern)
         self.forget()
 
     def forget(self) -> None:

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress, product, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,17 @@ SHARDS = "part int, number long, n_docs long, n_ids long, shard binary"
 SHARD_IDS, ROUND_RULES = 1_200_000, 8192
 #: A rule takes 12 bytes and each use of it saves a symbol's three, so rarer pairs do not pay.
 LEAST_COUNT = 4
-#: Bytes of a worker's table of words and pieces of a generation; larger than elsewhere, as nothing else is held beside it.
-WORD_BYTES, PIECES = 128 << 20, 250_000
+#: Pieces that a worker's table holds before it is cut down; larger than elsewhere, as no table of words is held beside it.
+PIECES = 500_000
+#: Where texts without runs of white space are cut besides spaces: before a mark behind a letter, and on both sides of a line's end.
+MARK, LETTER = (bytes(b in c for b in range(256)) for c in (b",.;:!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+BORDERS = [
+    *product(("a", " a", "1a", "éa", "'s", "x's", "...a", "\na"), (",", ".", "...", ",'s", ". a", ".\na", ",a", ".1", "!é", ";", ":", "?")),
+    *product(("a", "1", "!", "é", "漢", "a.", "'"), ("\n", "\na", "\n!", "\n1", "\né", "\n's")),
+    *product(("\n", "a\n", "!\n"), ("a", "1", "!", "é", "漢", "'s", "...")),
+]
+#: Bytes of text, at most, that are encoded at once (a batch beyond is alone), so what batches have in common is looked up once.
+TOGETHER = 24 << 20
 #: Input bytes of a range of doc_ids, at most, about.
 RANGE_BYTES = 16 << 20
 #: Parts whose sums of ids are added up in one task.
@@ -56,14 +66,24 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray,
     while len(seq) > 1:
         live[starts[starts > 0] - 1] = False  # what lies over a border is no pair
         where = np.flatnonzero(live)
-        key = (seq[where].astype(np.int64) << 24) | seq[where + 1]
+        # looked up one by one, or where most are wanted read in a row
+        if 4 * len(where) > len(seq):
+            key = seq[:-1].astype(np.int64)
+            key <<= 24
+            key |= seq[1:]
+            key = key.take(where)
+        else:
+            key = seq.take(where).astype(np.int64)
+            key <<= 24
+            key |= seq.take(where + 1)
         place = key.view(np.uint64) * factor
         # a bucket holds all of a pair's places, so those of a scant bucket hold rare pairs
         bits = min(20, max(15, len(key).bit_length()))
         bucket = (place >> np.uint64(64 - bits)).view(np.int64)
-        full = np.bincount(bucket, minlength=1 << bits)[bucket] >= LEAST_COUNT
+        full = (np.bincount(bucket, minlength=1 << bits) >= LEAST_COUNT).take(bucket)
         live[where] = full
-        where, key, place = where[full], key[full], place[full]
+        full = np.flatnonzero(full)
+        where, key, place = where.take(full), key.take(full), place.take(full)
         k = np.sort(key)
         edge = np.flatnonzero(np.diff(k, prepend=-1))
         count = np.diff(edge, append=len(k))
@@ -80,17 +100,22 @@ def grammar(seq: np.ndarray, breaks: np.ndarray, base: int) -> tuple[np.ndarray,
         slots[:] = 0
         slots[((chosen.view(np.uint64) * factor) >> shift).view(np.int64)] = np.arange(len(chosen), dtype=np.int32)
         place >>= shift
-        at = slots[place.view(np.int64)]
-        found = np.flatnonzero(chosen[at] == key)
-        hit, at = where[found], at[found]
+        at = slots.take(place.view(np.int64))
+        found = np.flatnonzero(chosen.take(at) == key)
+        hit, at = where.take(found), at.take(found)
         # of pairs that overlap in a row every second is taken
-        run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
-        second = (np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))) & 1 == 0
-        hit = hit[second]
-        seq[hit] = made + at[second]
+        over = np.flatnonzero(hit[1:] - hit[:-1] == 1) + 1
+        if len(over):
+            run = np.flatnonzero(np.diff(over, prepend=-2) != 1)
+            stay = np.ones(len(hit), bool)
+            stay[over[(np.arange(len(over)) - np.repeat(run, np.diff(run, append=len(over)))) & 1 == 0]] = False
+            stay = np.flatnonzero(stay)
+            hit, at = hit.take(stay), at.take(stay)
+        seq[hit] = made + at
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, live = seq[keep], np.append(live, False)[keep]
+        keep = np.flatnonzero(keep)
+        seq, live = seq.take(keep), np.append(live, False).take(keep)
         starts -= np.searchsorted(hit, starts)  # each hit before a start took one symbol away
         fresh = hit - np.arange(len(hit))  # where the new symbols are now; pairs with them on either side are new
         live[fresh], live[np.maximum(fresh - 1, 0)] = True, True
@@ -184,53 +209,125 @@ class Shard:
         return self.expand(s[a:b])[i - upto[a] : i - upto[a] + max(0, min(j, upto[-1]) - i)]
 
 
-def library_words(path: str, pattern: str) -> bpe.Words:
-    """Words encoded by the tokenizers library's model; a piece is spelled in its alphabet of visible characters for bytes."""
-    model = Tokenizer.from_file(path).model
-    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
-    others = iter(range(256, 512))
-    spelled = {b: shown[b] if b in shown else chr(next(others)) for b in range(256)}
-    alphabet = str.maketrans({chr(b): c for b, c in spelled.items()})
-    but_nul = {k: v for k, v in alphabet.items() if k}
-    split, tokenize = regex.compile(pattern).findall, model.tokenize
-    known = bpe.Recent(PIECES)
-
-    def pieces_of(words: list[str], plain: bool) -> list[str]:
-        """The words' pieces, known from now on. Plain words, in a row, fall into the same pieces as apart."""
-        pieces = split("".join(words)) if plain else [p for w in words for p in split(w)]
-        fresh = known.absent(pieces)
-        if plain:  # no NUL among them
-            names = "\0".join(fresh).encode().decode("latin-1").translate(but_nul).split("\0")
-        else:
-            names = [p.encode().decode("latin-1").translate(alphabet) for p in fresh]
-        for p, name in zip(fresh, names):
-            known.young[p] = bpe.packed([t.id for t in tokenize(name)])
-        return pieces
-
-    def encode(words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        known.age()
-        pieces = pieces_of(words, plain)
-        return bpe.by_word(words, pieces, list(map(known.young.__getitem__, pieces)))
-
-    return bpe.Words(encode, pattern, WORD_BYTES)
+def taken(ids: np.ndarray, off: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of rows place of a table of lists in a row, and where each begins: lists are copied as strings of bytes."""
+    table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(4 * off), pa.py_buffer(ids)])
+    out = table.take(pa.array(place))
+    upto = np.frombuffer(out.buffers()[1], np.int64, len(place) + 1, 8 * out.offset) // 4
+    return np.frombuffer(out.buffers()[2] or b"", np.uint32, upto[-1]), upto
 
 
 class Library:
-    """Encodes batches of texts as the library does. Texts that hold one of its added tokens go through it whole."""
+    """Encodes batches of texts as the library does. Texts that hold one of its added tokens go through it whole.
+
+    Texts are cut at single spaces, where pieces always end, those with runs of white space by the whole pattern. What several
+    batches have in words is cut into pieces once, and a piece is given to the library's model once, spelled in its alphabet of
+    visible characters for bytes. Pieces stay in a table; when it has more than PIECES, only those of the last batches stay.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.whole = Tokenizer.from_file(path)
-        self.words = library_words(path, pattern)
+        self.tokenize = self.whole.model.tokenize
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and where each text's begin."""
-        special = np.zeros(len(texts), bool)
-        for token in self.added:
-            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
-        if not special.any():
-            return self.words.batch(texts)
-        ids, off = self.words.batch(pc.if_else(pa.array(special), "", texts))
+        self.split = bpe.splitter(pattern).findall
+        if any(self.split(a + b) != self.split(a) + self.split(b) for a, b in BORDERS):
+            raise ValueError("the pattern joins what line ends or marks behind letters part")
+        shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+        others = iter(range(256, 512))
+        spelled = {b: shown[b] if b in shown else chr(next(others)) for b in range(256)}
+        self.alphabet = str.maketrans({chr(b): c for b, c in spelled.items()})
+        self.but_nul = {k: v for k, v in self.alphabet.items() if k}
+        self.known: dict[str, int] = {}
+        self.ids, self.off, self.width = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Takes pieces into the table: their ids in a row, where each one's begin, and their bytes."""
+        joined = "\0".join(fresh)
+        if joined.count("\0") == len(fresh) - 1:  # none in a piece
+            names = joined.encode().decode("latin-1").translate(self.but_nul).split("\0")
+        else:
+            names = [p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
+        ids, sizes = array("I"), array("I")
+        for k in range(0, len(names), 512):  # few tokens at a time: they are objects
+            found = list(map(self.tokenize, names[k : k + 512]))
+            sizes.extend(map(len, found))
+            ids.extend([t.id for tokens in found for t in tokens])
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)])
+        self.width = np.concatenate([self.width, np.fromiter(map(len, names), np.int64, len(names))])
+
+    def forget_all_but(self, place: np.ndarray) -> None:
+        stay = np.zeros(len(self.known), bool)
+        stay[place] = True
+        self.known = dict(zip(compress(self.known, stay.tolist()), range(len(stay))))
+        self.ids, self.off = taken(self.ids, self.off, np.flatnonzero(stay))
+        self.width = self.width[stay]
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many come before each text. A space stays with the word behind it; a mark behind a letter
+        and a line's end are words as well."""
+        raw, off = common.byte_lists(texts)
+        begins = raw == 32
+        data = raw.tobytes()
+        marks = np.flatnonzero(np.frombuffer(data.translate(MARK), bool)[1:]) + 1
+        begins[marks[np.frombuffer(LETTER, bool)[raw[marks - 1]]]] = True
+        lines = np.flatnonzero(raw == 10)
+        begins[lines] = True
+        begins[lines[lines + 1 < len(raw)] + 1] = True
+        begins[off[:-1][off[:-1] < off[1:]]] = True
+        for k in np.flatnonzero(pc.match_substring_regex(texts, bpe.RUN).to_numpy(zero_copy_only=False).astype(bool)).tolist():
+            ends = np.cumsum([len(p.encode()) for p in self.split(texts[k].as_py())])
+            if ends[-1] != off[k + 1] - off[k]:
+                raise ValueError("the pattern leaves something out")
+            begins[off[k] + 1 : off[k + 1]] = False
+            begins[off[k] + ends[:-1]] = True
+        at = np.flatnonzero(begins)
+        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(data))
+        return words, np.searchsorted(at, off)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and where each one's begin."""
+        ends = common.byte_lists(words)[1]
+        plain = pc.match_substring_regex(words, bpe.PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        # plain words, in a row, fall into the same pieces as apart
+        pieces = self.split(common.byte_lists(words.filter(pa.array(plain)))[0].tobytes().decode())
+        pieces += [p for w in words.filter(pa.array(~plain)).to_pylist() for p in self.split(w)]
+        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(place < 0)):
+            missing = [pieces[k] for k in new.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            place[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        ids, upto = taken(self.ids, self.off, place)
+        # whose pieces are whose is told by where words and pieces end
+        last = np.searchsorted(np.cumsum(self.width[place]), np.cumsum(np.diff(ends)[order]), "right")
+        off = upto[np.concatenate([[0], last])]
+        if len(self.known) > PIECES:
+            self.forget_all_but(place)
+        if plain.all():
+            return ids, off
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return taken(ids, off, back)
+
+    def batches(self, given: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each batch of texts all ids, and where each text's begin."""
+        special = []
+        for texts in given:
+            special.append(np.zeros(len(texts), bool))
+            for token in self.added:
+                special[-1] |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [self.cut(pc.if_else(pa.array(s), "", texts) if s.any() else texts) for s, texts in zip(special, given)]
+        coded = pa.chunked_array([w for w, _ in cuts], pa.string()).combine_chunks().dictionary_encode()
+        words, off = self.encode(coded.dictionary)
+        numbers, begin = coded.indices, 0
+        for s, texts, (own, upto) in zip(special, given, cuts):
+            ids, ends = taken(words, off, numbers[begin : begin + len(own)])
+            begin += len(own)
+            yield self.with_whole(ids, ends[upto], texts, s) if s.any() else (ids, ends[upto])
+
+    def with_whole(self, ids: np.ndarray, off: np.ndarray, texts: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(off)
         found = [self.whole.encode(t, add_special_tokens=False).ids for t in texts.filter(pa.array(special)).to_pylist()]
         n[special] = list(map(len, found))
@@ -239,6 +336,10 @@ class Library:
         out[own], out[~own] = np.array([i for f in found for i in f], np.uint32), ids
         return out, np.concatenate([[0], np.cumsum(n)])
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        return next(self.batches([texts]))
+
 
 @functools.lru_cache(maxsize=1)
 def library(path: str, pattern: str) -> Library:
@@ -258,7 +359,17 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
     base = Tokenizer.from_file(path).get_vocab_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = library(path, pattern)
+        encoder = library(path, pattern)
+
+        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+            some: list[pa.RecordBatch] = []
+            for b in batches:
+                if sum(x.column("text").nbytes for x in [*some, b]) > TOGETHER:
+                    yield from zip(some, encoder.batches([x.column("text") for x in some]))
+                    some = []
+                some.append(b)
+            yield from zip(some, encoder.batches([x.column("text") for x in some]))
+
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -271,9 +382,8 @@ def write_shards(docs: DataFrame, path: str, pattern: str, target: str) -> None:
             number, held = number + 1, []
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "number", "n_docs", "n_ids", "shard"])
 
-        for b in batches:
+        for b, (ids, off) in encoded(batches):
             doc_ids = b.column("doc_id").to_pylist()
-            ids, off = words.batch(b.column("text"))
             begin = 0
             while begin < len(doc_ids):
                 room = SHARD_IDS - sum(len(x) for _, x, _ in held)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from stretto.llm import common, repair
@@ -92,3 +93,34 @@ def test_rounds_sort_only_pairs_that_can_be_frequent(monkeypatch):
     inside = np.ones(len(symbols) - 1, bool)
     inside[starts[1:] - 1] = False
     assert np.unique((symbols[:-1].astype(np.int64) << 24 | symbols[1:])[inside], return_counts=True)[1].max() < repair.LEAST_COUNT
+
+
+def test_batches_share_what_they_look_up():
+    rng = random.Random(6)
+    stems = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(300)]
+    given = [pa.array([" ".join(rng.choice(stems) + rng.choice(["", "", ",", ".", "!", ".\nAnd"]) for _ in range(150)) for _ in range(20)]) for _ in range(12)]
+    words, cut, asked = repair.Library(PATH, P.PATTERN), [], []
+    split, tokenize = words.split, words.tokenize
+    words.split = lambda t: cut.extend(found := split(t)) or found
+    words.tokenize = lambda p: asked.append(p) or tokenize(p)
+    got = list(words.batches(given))
+    # a stem was cut for each batch that it was new to, and again with each mark behind it
+    assert len(cut) < 1000 and len(asked) == len(set(asked)) < 700
+    t = Tokenizer.from_file(PATH)
+    for texts, (ids, off) in zip(given, got, strict=True):
+        assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == [e.ids for e in t.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
+
+def test_batches_agree_with_the_library_whatever_the_table_holds(monkeypatch):
+    monkeypatch.setattr(repair, "PIECES", 40)
+    rng = random.Random(7)
+    parts = ["a", "b", "Ab", "é", "ñ", "日", "ß", " ", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!", "?", ";", ":", "'", "'s", "'ll", "1", "½", "\0", "\x1c", "\x85", "\xa0", "\u3000", "-", "🙂", "e\u0301", "the", " the", "<|endoftext|>", "<|end"]
+    words, t = repair.Library(PATH, P.PATTERN), Tokenizer.from_file(PATH)
+    for most in (3, 8, 40):
+        for _ in range(25):
+            given = [["".join(rng.choices(parts, k=rng.randrange(most))) for _ in range(rng.randrange(12))] for _ in range(rng.randrange(1, 5))]
+            for texts, (ids, off) in zip(given, words.batches([pa.array(["before", *texts], pa.string())[1:] for texts in given]), strict=True):
+                want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+                assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == want, texts
+            assert len(words.known) == len(words.width) == len(words.off) - 1 < 400
+    assert [len(ids) for ids, _ in words.batches([pa.array([], pa.string()), pa.array([""])])] == [0, 0]
