@@ -43,6 +43,9 @@ BORDERS = [
     *product(("a", "1", "!", "é", "漢", "a.", "'"), ("\n", "\na", "\n!", "\n1", "\né", "\n's")),
     *product(("\n", "a\n", "!\n"), ("a", "1", "!", "é", "漢", "'s", "...")),
 ]
+#: Up to here the library's cutter and the pattern agree on what is a letter; of later characters their versions of Unicode tell some
+#: differently, so these are asked about as they are met. BEYOND: the least byte that begins a later one.
+AGREED, BEYOND = "\u023f", 0xC9
 #: Bytes of text, at most, that are encoded at once (a batch beyond is alone), so what batches have in common is looked up once.
 TOGETHER = 24 << 20
 #: Input bytes of a range of doc_ids, at most, about.
@@ -221,15 +224,17 @@ class Library:
     """Encodes batches of texts as the library does. Texts that hold one of its added tokens go through it whole.
 
     Texts are cut at single spaces, where pieces always end, those with runs of white space by the whole pattern. What several
-    batches have in words is cut into pieces once, and a piece is given to the library's model once, spelled in its alphabet of
-    visible characters for bytes. Pieces stay in a table; when it has more than PIECES, only those of the last batches stay.
+    batches have in words is cut into pieces once, by the library's own cutter where the pattern would cut otherwise, and a piece is
+    given to the library's model once, spelled in its alphabet of visible characters for bytes. Pieces stay in a table; when it has
+    more than PIECES, only those of the last batches stay.
     """
 
     def __init__(self, path: str, pattern: str):
         self.whole = Tokenizer.from_file(path)
         self.tokenize = self.whole.model.tokenize
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
-        self.split = bpe.splitter(pattern).findall
+        self.odd: dict[str, bool] = {}
+        self.cutter, self.split = self.whole.pre_tokenizer.pre_tokenize_str, bpe.splitter(pattern).findall
         if any(self.split(a + b) != self.split(a) + self.split(b) for a, b in BORDERS):
             raise ValueError("the pattern joins what line ends or marks behind letters part")
         shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
@@ -264,6 +269,20 @@ class Library:
         self.ids, self.off = taken(self.ids, self.off, np.flatnonzero(stay))
         self.width = self.width[stay]
 
+    def odd_in(self, text: str) -> set[str]:
+        """The characters that are of another kind to the library's cutter than to the pattern."""
+        found = set(text)
+        for c in found.difference(self.odd):
+            probe = f"a{c}1{c}!"
+            self.odd[c] = self.library_pieces(probe) != self.split(probe)
+        return {c for c in found if self.odd[c]}
+
+    def library_pieces(self, text: str) -> list[str]:
+        return [text[i:j] for _, (i, j) in self.cutter(text)]
+
+    def pieces(self, text: str) -> list[str]:
+        return self.library_pieces(text) if max(text) > AGREED and self.odd_in(text) else self.split(text)
+
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of all texts, and how many come before each text. A space stays with the word behind it; a mark behind a letter
         and a line's end are words as well."""
@@ -277,7 +296,7 @@ class Library:
         begins[lines[lines + 1 < len(raw)] + 1] = True
         begins[off[:-1][off[:-1] < off[1:]]] = True
         for k in np.flatnonzero(pc.match_substring_regex(texts, bpe.RUN).to_numpy(zero_copy_only=False).astype(bool)).tolist():
-            ends = np.cumsum([len(p.encode()) for p in self.split(texts[k].as_py())])
+            ends = np.cumsum([len(p.encode()) for p in self.pieces(texts[k].as_py())])
             if ends[-1] != off[k + 1] - off[k]:
                 raise ValueError("the pattern leaves something out")
             begins[off[k] + 1 : off[k + 1]] = False
@@ -288,12 +307,15 @@ class Library:
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and where each one's begin."""
-        ends = common.byte_lists(words)[1]
+        raw, ends = common.byte_lists(words)
         plain = pc.match_substring_regex(words, bpe.PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        later = np.unique(np.searchsorted(ends, np.flatnonzero(raw >= BEYOND), "right") - 1)
+        if odd := self.odd_in(common.byte_lists(words.take(pa.array(later)))[0].tobytes().decode()):
+            plain &= ~pc.match_substring_regex(words, f"[{''.join(f'\\x{{{ord(c):x}}}' for c in odd)}]").to_numpy(zero_copy_only=False).astype(bool)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         # plain words, in a row, fall into the same pieces as apart
         pieces = self.split(common.byte_lists(words.filter(pa.array(plain)))[0].tobytes().decode())
-        pieces += [p for w in words.filter(pa.array(~plain)).to_pylist() for p in self.split(w)]
+        pieces += [p for w in words.filter(pa.array(~plain)).to_pylist() for p in self.pieces(w)]
         place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(place < 0)):
             missing = [pieces[k] for k in new.tolist()]

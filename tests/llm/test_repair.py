@@ -124,3 +124,12 @@ def test_batches_agree_with_the_library_whatever_the_table_holds(monkeypatch):
                 assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == want, texts
             assert len(words.known) == len(words.width) == len(words.off) - 1 < 400
     assert [len(ids) for ids, _ in words.batches([pa.array([], pa.string()), pa.array([""])])] == [0, 0]
+
+
+def test_characters_of_every_kind_are_cut_as_the_library_does():
+    t = Tokenizer.from_file(PATH)
+    # letters of later versions of Unicode, whose bytes merge with those behind them unless both are cut apart
+    texts = [f"{chr(c)}蹋 a{chr(c)}b {chr(c)}蹋  {chr(c)}" for c in [*range(1, 0xD800, 5), *range(0x10008, 0x20000, 0x40)]]
+    ids, off = repair.Library(PATH, P.PATTERN).batch(pa.array(texts))
+    got = [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])]
+    assert not [x for x, own, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False), strict=True) if own != e.ids]
