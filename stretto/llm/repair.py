@@ -43,9 +43,9 @@ BORDERS = [
     *product(("a", "1", "!", "é", "漢", "a.", "'"), ("\n", "\na", "\n!", "\n1", "\né", "\n's")),
     *product(("\n", "a\n", "!\n"), ("a", "1", "!", "é", "漢", "'s", "...")),
 ]
-#: Up to here the library's cutter and the pattern agree on what is a letter; of later characters their versions of Unicode tell some
-#: differently, so these are asked about as they are met. BEYOND: the least byte that begins a later one.
-AGREED, BEYOND = "\u023f", 0xC9
+#: The least byte that begins a character from U+0240 on. What is a letter before, the library's cutter and the pattern agree on; of
+#: later characters their versions of Unicode tell some differently, so these are asked about as they are met.
+LATER = 0xC9
 #: Bytes of text, at most, that are encoded at once (a batch beyond is alone), so what batches have in common is looked up once.
 TOGETHER = 24 << 20
 #: Input bytes of a range of doc_ids, at most, about.
@@ -233,7 +233,7 @@ class Library:
         self.whole = Tokenizer.from_file(path)
         self.tokenize = self.whole.model.tokenize
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
-        self.odd: dict[str, bool] = {}
+        self.kinds = np.zeros(0x110000, np.uint8)  # by character: 0 not asked about yet, 2 odd
         self.cutter, self.split = self.whole.pre_tokenizer.pre_tokenize_str, bpe.splitter(pattern).findall
         if any(self.split(a + b) != self.split(a) + self.split(b) for a, b in BORDERS):
             raise ValueError("the pattern joins what line ends or marks behind letters part")
@@ -253,8 +253,8 @@ class Library:
         else:
             names = [p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
         ids, sizes = array("I"), array("I")
-        for k in range(0, len(names), 512):  # few tokens at a time: they are objects
-            found = list(map(self.tokenize, names[k : k + 512]))
+        for k in range(0, len(names), 32):  # few tokens at a time: they are objects
+            found = list(map(self.tokenize, names[k : k + 32]))
             sizes.extend(map(len, found))
             ids.extend([t.id for tokens in found for t in tokens])
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
@@ -269,20 +269,17 @@ class Library:
         self.ids, self.off = taken(self.ids, self.off, np.flatnonzero(stay))
         self.width = self.width[stay]
 
-    def odd_in(self, text: str) -> set[str]:
+    def odd_in(self, text: str) -> list[int]:
         """The characters that are of another kind to the library's cutter than to the pattern."""
-        found = set(text)
-        for c in found.difference(self.odd):
-            probe = f"a{c}1{c}!"
-            self.odd[c] = self.library_pieces(probe) != self.split(probe)
-        return {c for c in found if self.odd[c]}
+        found = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        for c in np.unique(found[self.kinds[found] == 0]).tolist():
+            probe = f"a{chr(c)}1{chr(c)}!"
+            self.kinds[c] = 1 + (self.library_pieces(probe) != self.split(probe))
+        return np.unique(found[self.kinds[found] == 2]).tolist()
 
     def library_pieces(self, text: str) -> list[str]:
         return [text[i:j] for _, (i, j) in self.cutter(text)]
 
-    def pieces(self, text: str) -> list[str]:
-        return self.library_pieces(text) if max(text) > AGREED and self.odd_in(text) else self.split(text)
-
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of all texts, and how many come before each text. A space stays with the word behind it; a mark behind a letter
         and a line's end are words as well."""
@@ -296,11 +293,14 @@ class Library:
         begins[lines[lines + 1 < len(raw)] + 1] = True
         begins[off[:-1][off[:-1] < off[1:]]] = True
         for k in np.flatnonzero(pc.match_substring_regex(texts, bpe.RUN).to_numpy(zero_copy_only=False).astype(bool)).tolist():
-            ends = np.cumsum([len(p.encode()) for p in self.pieces(texts[k].as_py())])
-            if ends[-1] != off[k + 1] - off[k]:
+            text = texts[k].as_py()
+            pieces = self.split(text) if text.isascii() or not self.odd_in(text) else self.library_pieces(text)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            chars = np.flatnonzero(raw[off[k] : off[k + 1]] & 0xC0 != 0x80)  # where each begins
+            if ends[-1] != len(chars):
                 raise ValueError("the pattern leaves something out")
             begins[off[k] + 1 : off[k + 1]] = False
-            begins[off[k] + ends[:-1]] = True
+            begins[off[k] + chars[ends[:-1]]] = True
         at = np.flatnonzero(begins)
         words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(data))
         return words, np.searchsorted(at, off)
@@ -309,13 +309,16 @@ class Library:
         """All ids of the words, and where each one's begin."""
         raw, ends = common.byte_lists(words)
         plain = pc.match_substring_regex(words, bpe.PLAIN).to_numpy(zero_copy_only=False).astype(bool)
-        later = np.unique(np.searchsorted(ends, np.flatnonzero(raw >= BEYOND), "right") - 1)
-        if odd := self.odd_in(common.byte_lists(words.take(pa.array(later)))[0].tobytes().decode()):
-            plain &= ~pc.match_substring_regex(words, f"[{''.join(f'\\x{{{ord(c):x}}}' for c in odd)}]").to_numpy(zero_copy_only=False).astype(bool)
+        later, strange = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        later[np.searchsorted(ends, np.flatnonzero(raw >= LATER), "right") - 1] = True
+        if odd := self.odd_in(common.byte_lists(words.filter(pa.array(later)))[0].tobytes().decode()):
+            strange = pc.match_substring_regex(words, f"[{''.join(f'\\x{{{c:x}}}' for c in odd)}]").to_numpy(zero_copy_only=False).astype(bool)
+            plain &= ~strange
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         # plain words, in a row, fall into the same pieces as apart
         pieces = self.split(common.byte_lists(words.filter(pa.array(plain)))[0].tobytes().decode())
-        pieces += [p for w in words.filter(pa.array(~plain)).to_pylist() for p in self.pieces(w)]
+        for w, is_strange in zip(words.filter(pa.array(~plain)).to_pylist(), strange[~plain].tolist()):
+            pieces += self.library_pieces(w) if is_strange else self.split(w)
         place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(place < 0)):
             missing = [pieces[k] for k in new.tolist()]
